@@ -32,8 +32,8 @@ def strip(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text; a line end at its end opens no further line."""
-    text = F.regexp_replace(text, rf"({LINE_END})\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, LINE_END))
+    open_ended = F.regexp_replace(text, rf"({LINE_END})\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(open_ended, LINE_END))
 
 
 def is_page_number(line: Column) -> Column:
@@ -94,7 +94,7 @@ def formula(value: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def local_name(qname: Column) -> Column:
@@ -141,7 +141,7 @@ def percent(ratio: Column) -> Column:
 
 def gfm_rows(text: Column) -> Column:
     """The cells of each row of a Markdown table; separators are left out, fewer than two pipe lines give none."""
-    pipes = F.filter(F.transform(lines(text), F.trim), lambda x: F.startswith(x, F.lit("|")))
-    cells = F.transform(pipes, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), F.trim))
+    pipes = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("|")))
+    cells = F.transform(pipes, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
     body = F.filter(cells, lambda r: ~F.forall(r, lambda c: c.rlike("^:?-+:?$|^$")))
     return F.when(F.size(pipes) >= 2, body).otherwise(F.array().cast("array<array<string>>"))

@@ -34,7 +34,7 @@ def segments(spark, d):
     return own.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").alias("seg_no"), "text", F.col("role").alias("speaker"), F.expr("cast(total - w + 40 * (turn div 3) as double)").alias("start"), F.expr("cast(total + 40 * (turn div 3) as double)").alias("end"))
 
 
-_CLOCK = "lpad(CAST(CAST(floor({0}) AS BIGINT) // 60 AS VARCHAR), greatest(2, length(CAST(CAST(floor({0}) AS BIGINT) // 60 AS VARCHAR))), '0') || ':' || lpad(CAST(CAST(floor({0}) AS BIGINT) % 60 AS VARCHAR), 2, '0')"
+_CLOCK = "printf('%02d:%02d', CAST(floor({0}) AS BIGINT) // 60, CAST(floor({0}) AS BIGINT) % 60)"
 
 
 @query("speaker_turns_md", f"""WITH {_SEGMENTS}
@@ -86,7 +86,7 @@ def recording_warnings(spark, d):
 
 
 _STATUS = "CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' ELSE 'queued' END"
-_UPDATES = f"SELECT CAST(user_id AS VARCHAR) AS job_id, {_STATUS} AS status, event_id, CAST(event_id * 7 AS DOUBLE) AS at FROM events"
+_UPDATES = f"SELECT CAST(user_id AS VARCHAR) AS job_id, {_STATUS} AS status, event_id, CAST(event_id * 7 AS DOUBLE) AS seen_at FROM events"
 
 
 def _updates(spark, d):
@@ -94,12 +94,12 @@ def _updates(spark, d):
     return e.selectExpr("cast(user_id as string) as job_id", f"{_STATUS} as status", "if(event_id % 2 = 0, 'interactive', 'batch') as queue", "cast(event_id * 7 as double) as updated_at", "event_id")
 
 
-@query("job_latest_state", f"WITH u AS ({_UPDATES}) SELECT job_id, arg_max(status, at) AS status, CASE WHEN max(event_id) % 2 = 0 THEN 'interactive' ELSE 'batch' END AS queue, min(at) AS created_at, max(at) AS updated_at FROM u GROUP BY job_id")
+@query("job_latest_state", f"WITH u AS ({_UPDATES}) SELECT job_id, arg_max(status, seen_at) AS status, CASE WHEN max(event_id) % 2 = 0 THEN 'interactive' ELSE 'batch' END AS queue, min(seen_at) AS created_at, max(seen_at) AS updated_at FROM u GROUP BY job_id")
 def job_latest_state(spark, d):
     return service.latest_jobs(_updates(spark, d))
 
 
-@query("job_ttl", f"WITH u AS ({_UPDATES}), j AS (SELECT job_id, max(at) AS updated_at FROM u GROUP BY 1) SELECT job_id, updated_at FROM j WHERE (SELECT max(at) FROM u) - updated_at < 3600")
+@query("job_ttl", f"WITH u AS ({_UPDATES}), j AS (SELECT job_id, max(seen_at) AS updated_at FROM u GROUP BY 1) SELECT job_id, updated_at FROM j WHERE (SELECT max(seen_at) FROM u) - updated_at < 3600")
 def job_ttl(spark, d):
     u = _updates(spark, d)
     now = u.agg(F.max("updated_at").alias("now"))
@@ -113,12 +113,12 @@ def _events(spark, d):
 _STREAM = "CASE status WHEN 'complete' THEN 'completed' ELSE status END"
 
 
-@query("progress_terminal", f"WITH u AS (SELECT job_id, {_STREAM} AS status, at AS ts FROM ({_UPDATES})), e AS (SELECT job_id, min(ts) AS ends FROM u WHERE status IN ('completed', 'failed') GROUP BY 1) SELECT u.* FROM u LEFT JOIN e USING (job_id) WHERE ends IS NULL OR ts <= ends")
+@query("progress_terminal", f"WITH u AS (SELECT job_id, {_STREAM} AS status, seen_at AS ts FROM ({_UPDATES})), e AS (SELECT job_id, min(ts) AS ends FROM u WHERE status IN ('completed', 'failed') GROUP BY 1) SELECT u.* FROM u LEFT JOIN e USING (job_id) WHERE ends IS NULL OR ts <= ends")
 def progress_terminal(spark, d):
     return service.until_terminal(_events(spark, d))
 
 
-@query("heartbeat_gaps", f"SELECT job_id, ts, CAST(floor(gap / 15) AS INTEGER) AS beats FROM (SELECT job_id, at AS ts, at - lag(at) OVER (PARTITION BY job_id ORDER BY at) AS gap FROM ({_UPDATES})) WHERE gap >= 15")
+@query("heartbeat_gaps", f"SELECT job_id, ts, CAST(floor(gap / 15) AS INTEGER) AS beats FROM (SELECT job_id, seen_at AS ts, seen_at - lag(seen_at) OVER (PARTITION BY job_id ORDER BY seen_at) AS gap FROM ({_UPDATES})) WHERE gap >= 15")
 def heartbeat_gaps(spark, d):
     return service.heartbeats(_events(spark, d))
 

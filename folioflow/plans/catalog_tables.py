@@ -115,15 +115,15 @@ def _records(spark, d):
 
 
 @query("json_array_headers", f"""
-SELECT doc_id, key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS INTEGER) AS place FROM (
-  SELECT doc_id, key, min(rw * 2 + pos) AS at FROM (SELECT doc_id, rw, 0 AS pos, event_type AS key FROM ({_RECORDS}) UNION ALL SELECT doc_id, rw, 1, 'id' FROM ({_RECORDS})) GROUP BY 1, 2)""")
+SELECT doc_id, key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seen_at) - 1 AS INTEGER) AS place FROM (
+  SELECT doc_id, key, min(rw * 2 + pos) AS seen_at FROM (SELECT doc_id, rw, 0 AS pos, event_type AS key FROM ({_RECORDS}) UNION ALL SELECT doc_id, rw, 1, 'id' FROM ({_RECORDS})) GROUP BY 1, 2)""")
 def json_array_headers(spark, d):
     return tables.array_headers(_records(spark, d))
 
 
 @query("json_array_table", f"""
 WITH r AS (SELECT doc_id, rw, 0 AS pos, event_type AS key, '1' AS value FROM ({_RECORDS}) UNION ALL SELECT doc_id, rw, 1, 'id', CAST(event_id AS VARCHAR) FROM ({_RECORDS})),
-h AS (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS col FROM (SELECT doc_id, key, min(rw * 2 + pos) AS at FROM r GROUP BY 1, 2))
+h AS (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY seen_at) - 1 AS col FROM (SELECT doc_id, key, min(rw * 2 + pos) AS seen_at FROM r GROUP BY 1, 2))
 SELECT doc_id, CAST(0 AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, key AS value FROM h UNION ALL
 SELECT f.doc_id, CAST(f.rw + 1 AS INTEGER), CAST(h.col AS INTEGER), coalesce(r.value, '') FROM (SELECT DISTINCT doc_id, rw FROM r) f JOIN h ON h.doc_id = f.doc_id LEFT JOIN r ON r.doc_id = f.doc_id AND r.rw = f.rw AND r.key = h.key""")
 def json_array_table(spark, d):

@@ -118,7 +118,7 @@ def line_fonts(spark, d):
 
 def _text_lines(spark, d):
     b = table(spark, d, "benchmark").where("text is not null")
-    cut = F.filter(F.transform(F.split("text", r"[.\n]"), F.trim), lambda x: x != "")
+    cut = F.filter(F.transform(F.split("text", r"[.\n]"), T.strip), lambda x: x != "")
     return b.select((F.col("item_id") / 10).cast("int").cast("string").alias("doc_id"), F.col("item_id").cast("int").alias("page_number"), F.posexplode(cut).alias("pos", "text"))
 
 

@@ -8,7 +8,7 @@ from folioflow.sources.markup import Element, parse_html
 from folioflow.sources.nodes import Outline, cell, flat_items, run
 
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
-SKIPPED = frozenset(("script", "style", "meta", "link", "head"))
+SKIPPED = frozenset(("script", "style", "meta", "link", "head", "title"))
 CONTAINERS = frozenset(("div", "article", "main", "section", "body", "html", "root", "header", "footer", "nav", "aside"))
 MARKS = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "code": "code", "del": "strike", "s": "strike", "strike": "strike"}
 #: Elements that hold no main content, and how much of a part's text may stand in links.
