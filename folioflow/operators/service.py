@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Media types that are routed behind, formats that always run behind, limits, and secret options.
@@ -88,6 +90,11 @@ def redacted(options: Column) -> Column:
     return F.transform_values(options, lambda k, v: F.when(k.isin(*SECRETS), "***").otherwise(v))
 
 
+def redacted_nested(options: Column) -> Column:
+    """Options with a nested map ``extra``, both without secrets: a struct of ``plain`` and ``extra`` maps."""
+    return F.struct(redacted(options["plain"]).alias("plain"), redacted(options["extra"]).alias("extra"))
+
+
 def redacted_url(url: Column) -> Column:
     return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), F.concat(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1), F.lit("/***"))).otherwise("***")
 
@@ -121,3 +128,19 @@ def error_is_transient(kind: Column) -> Column:
 
 def progress_channel(job_id: Column, prefix: str = "progress.") -> Column:
     return F.concat(F.lit(prefix), job_id)
+
+
+@contextmanager
+def scheduler_pool(spark: SparkSession, queue: str):
+    """Jobs started inside run in the queue's own scheduler pool (with ``spark.scheduler.mode=FAIR``)."""
+    before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", queue)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
+
+
+def stage_table(spark: SparkSession, audio: bool = False) -> DataFrame:
+    """(stage, pct) that a run reports; an audio run adds its own, whose percents don't only rise."""
+    return spark.createDataFrame([*STAGES[:2], *(AUDIO_STAGES if audio else ()), *STAGES[2:]], "stage string, pct int")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators import paragraphs, service, transcript
+from folioflow.plans import assemble, render
 from folioflow.plans.catalog_text import _PARAGRAPHS, table
 
 QUERIES, ORACLES = {}, {}
@@ -157,3 +158,19 @@ def callback_valid(spark, d):
 def progress_windows(spark, d):
     e = table(spark, d, "events")
     return e.groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("status")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "status", "n")
+
+
+@query("transcript_markdown", rf"""WITH {_SEGMENTS},
+s AS (SELECT *, lag("end") OVER (PARTITION BY doc_id ORDER BY seg_no) AS before FROM seg WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+g AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND start - before > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seg_no) AS section FROM s),
+h AS (SELECT *, section > 0 AND row_number() OVER (PARTITION BY doc_id, section ORDER BY seg_no) = 1 AS opens FROM g)
+SELECT doc_id, '# ' || doc_id || chr(10) || chr(10) || string_agg(CASE WHEN opens THEN '## [' || {_CLOCK.format('start')} || ']' || chr(10) || chr(10) ELSE '' END || '**[' || {_CLOCK.format('start')} || '] ' || speaker || ':** ' || replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '|', '\|'), chr(10) || chr(10) ORDER BY seg_no) AS markdown FROM h GROUP BY doc_id""")
+def transcript_markdown(spark, d):
+    return render.markdown(assemble.transcript_nodes(segments(spark, d)))
+
+
+@query("page_documents", f"""WITH {_PARAGRAPHS}, g AS (SELECT doc_id, source, string_agg(replace(paragraph, '|', '\\|'), chr(10) || chr(10) ORDER BY n) AS body FROM p GROUP BY 1, 2)
+SELECT source AS doc_id, string_agg('## Page ' || doc_id || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM g GROUP BY source""")
+def page_documents(spark, d):
+    lines = paragraphs.paragraphs(table(spark, d, "documents").select(F.struct("source", "doc_id").alias("doc_id"), "text"))
+    return render.markdown(assemble.page_nodes(lines.select(F.col("doc_id.source").alias("doc_id"), F.col("doc_id.doc_id").alias("page_number"), "pos", F.col("paragraph").alias("text"))))

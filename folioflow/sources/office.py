@@ -138,8 +138,11 @@ def parse_docx(content: bytes, options: dict) -> Outline:
                     flush()
                     out.paragraph(runs)
 
-    body(_first(doc.xml("word/document.xml"), "body"))
+    main = doc.xml("word/document.xml")
+    body(_first(main, "body"))
     flush()
+    if any(local(e.tag) == "oMath" for e in main.iter()):
+        out.warn("math_detected", "The document has formulas, which may be lost.")
     root = doc.xml("docProps/app.xml")
     pages = next((e.text for e in root if local(e.tag) == "Pages"), None) if root is not None else None
     out.metadata |= {"word_count": words or None, "page_count": int(pages) if (pages or "").isdigit() else None}
