@@ -132,7 +132,7 @@ def transcribe(recordings: DataFrame, engine: str, engines: dict[str, Callable[[
 OFFICE_PATHS = ("soffice", "libreoffice", "/usr/bin/soffice", "/usr/bin/libreoffice", "/usr/local/bin/soffice", "/opt/libreoffice/program/soffice", "/snap/bin/libreoffice", "/Applications/LibreOffice.app/Contents/MacOS/soffice")
 
 
-def find_office(variable: str = "LIBREOFFICE_PATH") -> str | None:
+def find_office(variable: str = "OFFICE_COMMAND") -> str | None:
     named = os.environ.get(variable)
     for path in ((named,) if named else ()) + OFFICE_PATHS:
         if found := shutil.which(path):

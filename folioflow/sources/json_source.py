@@ -31,14 +31,17 @@ def words_in(data) -> int:
 
 
 def type_label(schema) -> str:
-    if not isinstance(schema, dict):
-        return str(schema)
-    kind = schema.get("type", "")
-    if isinstance(kind, list):
-        return " | ".join(map(str, kind))
-    if kind == "array" and isinstance(schema.get("items"), dict):
-        return f"array<{type_label(schema['items'])}>"
-    return str(kind) if kind else "object"
+    """What a property holds, in a word or two."""
+    match schema:
+        case {"type": [*kinds]}:
+            return " | ".join(map(str, kinds))
+        case {"type": "array", "items": dict() as inner}:
+            return f"array<{type_label(inner)}>"
+        case {"type": kind} if kind:
+            return str(kind)
+        case dict():
+            return "object"
+    return str(schema)
 
 
 def _pretty(data) -> str:
