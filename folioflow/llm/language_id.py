@@ -4,8 +4,9 @@ Every language has a unigram distribution over the pieces of one fixed public
 vocabulary. A text's likelihood in a language sums over all segmentations of its
 words into pieces, by a forward pass; the pieces' probabilities come from
 expectation maximisation over the same lattices. Words are lower-cased runs of
-non-space characters led by a word mark; pieces never cross words, so a word's
-likelihoods are worked out once and remembered.
+non-space characters without the signs and digits at their ends, led by a word
+mark; pieces never cross words, so a word's likelihoods are worked out once and
+remembered.
 
 Fitting takes a bounded sample: about ``SAMPLE`` rows a language, chosen by a
 hash of the id; all of it runs on executors and only the distributions (pieces
@@ -18,6 +19,8 @@ the score is the posterior of the predicted language under even priors.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,13 +36,15 @@ UNDETERMINED = "und"
 SAMPLE = 1000
 ROUNDS = 3
 #: Words whose likelihoods a worker remembers; it starts afresh beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 FOLDS, HELD_OUT = 5, 0
 _MARK = "▁"
 _UNKNOWN = -16.0
 #: Share of each distribution that comes from all languages together, and of that from an even one.
 _SHARED, _EVEN = 0.01, 0.1
 _LETTER = regex.compile(r"\p{L}")
+#: What words are stripped of at their ends: it tells nothing of a language.
+_ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789“”„‘’‚«»‹›…–—¿¡·•。、，；：！？"
 
 
 def vocabulary_pieces(path: str | None = None) -> list[str]:
@@ -68,12 +73,8 @@ class Lattice:
         sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
         first = np.append(0, np.cumsum(sizes)[:-1])
         word = np.repeat(np.arange(len(words)), sizes)
-        ends, values = [], []
-        for end, value in automaton.iter(line):
-            ends.append(end)
-            values.append(value)
-        end = np.array(ends, dtype=np.int64)
-        piece, size = np.array(values, dtype=np.int64).reshape(-1, 2).T
+        found = np.fromiter(chain.from_iterable(automaton.iter(line)), dtype=np.int64).reshape(-1, 2)
+        end, piece, size = found[:, 0], found[:, 1] >> 8, found[:, 1] & 255
         single = np.ones(len(line), dtype=bool)
         single[end[size == 1]] = False
         lone = np.flatnonzero(single)  # characters outside the vocabulary
@@ -136,24 +137,34 @@ class Model:
 
             made = ahocorasick.Automaton()
             for i, p in enumerate(self.pieces):
-                made.add_word(p, (i, len(p)))
+                made.add_word(p, i << 8 | len(p))
             made.make_automaton()
             self._automaton = made
             self._places: dict[str, int] = {}
-            self._scores = np.empty((0, len(self.languages)))
+            self._scores = np.zeros((1, len(self.languages)))
         return self._automaton
 
     def lattice(self, words: list[str]) -> Lattice:
         return Lattice(self.automaton(), len(self.pieces), words)
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self._places) + len(words) > self.remembered:
-            self._places, self._scores = {}, self._scores[:0]
-        new = sorted((w for w in words if w not in self._places), key=len)
-        if new:
-            parts = [self.lattice(new[i : i + 5000]).forward(self.weights) for i in range(0, len(new), 5000)]
-            self._places.update(zip(new, range(len(self._scores), len(self._scores) + len(new)), strict=True))
-            self._scores = np.concatenate([self._scores, *parts])
+    def _rows(self, words: set[str]) -> dict[str, int]:
+        """Where each word's likelihoods stand; words of signs alone have row 0, of zeros."""
+        if len(self._places) > self.remembered:
+            self._places, self._scores = {}, self._scores[:1]
+        places, out, new = self._places, {}, []
+        for w in words:
+            core = w.strip(_ENDS)
+            at = places.get(core) if core else 0
+            if at is None:
+                new.append((w, core))
+            else:
+                out[w] = at
+        cores = sorted({c for _, c in new}, key=len)
+        parts = [self.lattice(cores[i : i + 5000]).forward(self.weights) for i in range(0, len(cores), 5000)]
+        places.update(zip(cores, range(len(self._scores), len(self._scores) + len(cores)), strict=True))
+        self._scores = np.concatenate([self._scores, *parts])
+        out.update((w, places[c]) for w, c in new)
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         self.automaton()
@@ -163,10 +174,9 @@ class Model:
         words: set[str] = set()
         for own in split:
             words.update(own)
-        self._learn(words)
-        place = self._places
-        at = np.fromiter((place[w] for own in split for w in own), dtype=np.int64)
+        place = self._rows(words)
         sizes = np.array([len(own) for own in split])
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
         total = np.zeros((len(texts), len(self.languages)))
         if len(at):
             some = np.flatnonzero(sizes)
@@ -193,7 +203,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def count(batches):
         for part in slices(batches):
             words = pc.utf8_split_whitespace(pc.utf8_lower(part.column("text")))
-            flat = pc.list_flatten(words)
+            flat = pc.utf8_trim(pc.list_flatten(words), characters=_ENDS)
             langs = pc.take(part.column("lang"), pc.list_parent_indices(words))
             grouped = pa.table({"lang": langs, "word": flat}).group_by(["lang", "word"]).aggregate([([], "count_all")])
             for batch in grouped.rename_columns(["lang", "word", "n"]).combine_chunks().to_batches():
