@@ -206,3 +206,20 @@ def deliver(results: DataFrame, post: Callable[[str, str], int], attempts: int =
             yield pd.DataFrame(rows, columns=["job_id", "delivered", "attempts", "error"])
 
     return results.select("job_id", "url", "body").mapInPandas(run, "job_id string, delivered boolean, attempts int, error string")
+
+
+def write_files(files: DataFrame, put: Callable[[str, bytes], None]) -> DataFrame:
+    """(name, error) of files (name, content) handed to ``put`` on the executors; a failing file is a row with its error."""
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for name, content in zip(part["name"], part["content"], strict=True):
+                try:
+                    put(name, bytes(content))
+                    rows.append((name, None))
+                except OSError as e:
+                    rows.append((name, str(e)))
+            yield pd.DataFrame(rows, columns=["name", "error"])
+
+    return files.select("name", "content").mapInPandas(run, "name string, error string")

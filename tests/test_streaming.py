@@ -122,3 +122,15 @@ def test_downloads_and_deliveries(spark):
     posts = spark.createDataFrame([("j", "u", "x"), ("k", "bad", "x")], "job_id string, url string, body string")
     sent = {r.job_id: (r.delivered, r.attempts) for r in external.deliver(posts, lambda u, b: 200 if u == "u" else 500, pauses=(0.0,)).collect()}
     assert sent == {"j": (True, 1), "k": (False, 3)}
+
+
+def test_written_files(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def put(name, content):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(content)
+
+    rows = spark.createDataFrame([("a.png", bytearray(b"x")), ("no/such/b.png", bytearray(b"y"))], "name string, content binary")
+    got = {r.name: r.error for r in external.write_files(rows, put).collect()}
+    assert got["a.png"] is None and "No such file" in got["no/such/b.png"] and (tmp_path / "a.png").read_bytes() == b"x"
