@@ -32,7 +32,10 @@ DISCOUNT = 0.75
 EVEN = 0.01
 #: 16 bytes each.
 BROADCAST_BIGRAMS = 6_000_000
-REMEMBERED = 500_000
+REMEMBERED = 600_000
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Labelled ids up to which the labels are broadcast to the texts. Beyond it both are shuffled.
+BROADCAST_LABELS = 1_000_000
 #: Distinct bigrams that a task holds before it hands them on.
 HELD = 2_000_000
 
@@ -45,7 +48,9 @@ def vocabulary_bytes(path: str | None = None) -> bytes:
 
 
 class Pieces:
-    """Piece ids of texts, word by word with a memory. Words are runs without ASCII white space."""
+    """Piece ids of texts, word by word with a memory.
+
+    Words are runs without ASCII white space; ASCII signs at a word's ends are words of their own."""
 
     def __init__(self, vocabulary: bytes, remembered: int = REMEMBERED):
         self.vocabulary, self.remembered = vocabulary, remembered
@@ -72,18 +77,28 @@ class Pieces:
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         model = self.model
+        kind = "<u2" if self.size <= 1 << 16 else "<u4"
         split = [(t or b"").split() for t in texts]
         words: set[bytes] = set()
         for own in split:
             words.update(own)
-        if len(self._known) + len(words) > self.remembered:
+        if len(self._known) > self.remembered:
             self._known = {}
-        known = self._known
-        new = [w for w in words if w not in known]
+        known, out, parts = self._known, {}, {}
+        for w in words:
+            if (got := known.get(w)) is not None:
+                out[w] = got
+            else:
+                core = w.strip(_SIGNS)
+                at = w.find(core)
+                parts[w] = [p for p in (w[:at], core, w[at + len(core) :]) if p] if core else [w]
+        new = list({p for own in parts.values() for p in own if p not in known})
         for w, own in zip(new, model.encode([w.decode() for w in new], num_threads=1), strict=True):
-            known[w] = np.array(own, dtype="<u2").tobytes() if model.get_piece_size() <= 1 << 16 else np.array(own, dtype="<u4").tobytes()
-        kind = "<u2" if model.get_piece_size() <= 1 << 16 else "<u4"
-        return [np.frombuffer(b"".join([known[w] for w in own]), kind).astype(np.int64) for own in split]
+            known[w] = np.array(own, dtype=kind).tobytes()
+        for w, own in parts.items():
+            out[w] = b"".join([known[p] for p in own])
+        get = out.__getitem__
+        return [np.frombuffer(b"".join(map(get, own)), kind).astype(np.int64) for own in split]
 
     def bigrams(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """``before * (size + 1) + piece`` of each token; ``size`` stands before a text's first."""
@@ -199,10 +214,14 @@ def _score_by_join(source: DataFrame, table: DataFrame, held) -> DataFrame:
     return keyed.select("id", "row").join(sums, "row", "left").select("id", *[F.coalesce(c, z).alias(c) for c, z in zero.items()])
 
 
-def mark_targets(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text, target): documents labelled good and not toxic are the target."""
-    good = labels.groupBy(F.col(id_col).alias("l_id")).agg(((F.max("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("target"))
-    return docs.select(id_col, "text").join(good, F.col(id_col) == F.col("l_id"), "left").select(id_col, "text", F.coalesce("target", F.lit(False)).alias("target"))
+def mark_targets(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", broadcast_labels: int = BROADCAST_LABELS) -> DataFrame:
+    """(doc_id, text, target): documents labelled good and not toxic are the target.
+
+    The ids of targets go to the texts while they are few, so that texts needn't move."""
+    good = labels.groupBy(F.col(id_col).alias("l_id")).agg(F.max("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("t"))
+    ids = good.where((F.col("q") == 1) & (F.col("t") == 0) & F.col("l_id").isNotNull()).select("l_id", F.lit(True).alias("target"))
+    ids = ids.hint("broadcast" if ids.count() <= broadcast_labels else "merge")
+    return docs.select(id_col, "text").join(ids, F.col(id_col) == F.col("l_id"), "left").select(id_col, "text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
 def lm_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
