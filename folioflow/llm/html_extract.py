@@ -47,7 +47,8 @@ OTHER_NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar footer sidebar aside widget widgets ad ads advert adverts advertisement "
     "advertising adsense adslot banner promo promos promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay comment comments "
     "commentlist respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search pagination "
-    "pager toolbar skip header".split()
+    "pager toolbar skip header responses discussion trackbacks pingbacks adsbygoogle adunit dfp taboola outbrain sponsors paywall disclaimer copyright colophon "
+    "sidemenu sidenav topnav dropdown offcanvas lightbox tooltip snackbar toast rail teaser teasers tagcloud toc".split()
 )
 _KEPT_ROOTS = frozenset(("html", "body", "main", "article"))
 
