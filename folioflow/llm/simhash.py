@@ -213,7 +213,9 @@ def group_report(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id. Repeated rows of that id stay once.
 
-    A null id is the smallest of none: its row goes if another row of its group has an id."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__keep")).distinct()
-    return docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    Rows without an id can't stand for a group; of those with equal texts one stays. Texts are
+    shuffled once: the join on the id and the removal of repeated rows share their partitioning."""
+    own = F.col(f"`{id_col}`")
+    keep = near_duplicates(docs, id_col, text_col).where("id = component").select(F.col("id").alias("__keep")).distinct()
+    named = docs.where(own.isNotNull()).join(keep, own == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(own.isNull()).dropDuplicates([text_col]))
