@@ -36,7 +36,7 @@ UNDETERMINED = "und"
 SAMPLE = 1000
 ROUNDS = 3
 #: Words whose likelihoods a worker remembers; it starts afresh beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 FOLDS, HELD_OUT = 5, 0
 _MARK = "▁"
 _UNKNOWN = -16.0

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import as_bytes, slices, with_fields
+from folioflow.llm.common import Remembered, slices, spell, with_fields
 
 LENGTH = 2048
 END = 1
 GROUP = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; it starts afresh beyond that.
-REMEMBERED = 800_000
+REMEMBERED = 450_000
+#: Rows and text bytes tokenised at once: words that they share are looked up once.
+AT_ONCE_ROWS, AT_ONCE_BYTES = 1000, 4 << 20
 
 _PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-_ROOM = re.compile(rb"(.*[a-z0-9])([#$%&*+,./:;=?!|-]+)", re.S)
+#: Signs at a word's end, behind a letter, are pre-tokenised apart from it.
+_CUT = r"(?s)^(?P<root>.*[a-z0-9])(?P<signs>[#$%&*+,./:;=?!|-]+)$"
 #: Words of these letters alone are one piece of pre-tokenised text each, whose last id ends a word.
 _PLAIN = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
 _WORD_END = "</w>"
@@ -53,16 +57,33 @@ class WordTokenizer:
     ``kind`` is the narrowest unsigned type that holds the vocabulary."""
 
     def __init__(self, spec: str, remembered: int = REMEMBERED):
+        self.spec, self.remembered = spec, remembered
+        self.known = Remembered(remembered)
+
+    def __getstate__(self):
+        return self.spec, self.remembered
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    @cached_property
+    def tokenizer(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        return Tokenizer.from_str(self.spec)
+
+    @cached_property
+    def kind(self) -> np.dtype:
+        return np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Which ids end a word."""
+        out = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for piece, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = piece.endswith(_WORD_END)
+            out[i] = piece.endswith(_WORD_END)
+        return out
 
     def _pack_plain(self, words: list[str]) -> list[bytes]:
         """As ``_pack``, for plain words: one text of them all, cut at the ids that end a word."""
@@ -80,63 +101,33 @@ class WordTokenizer:
         kind = self.kind
         return [np.array(e.ids, dtype=kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of each of ``words``. Only words without their trailing signs are remembered."""
-        known, match = self.known, _ROOM.fullmatch
-        out, parts, roots = {}, {}, set()
-        for w in words:
-            if (ids := known.get(w)) is not None:
-                out[w] = ids
-            else:
-                m = match(w)
-                parts[w] = own = m.groups() if m else (w,)
-                roots.update(own)
-        roots = [r for r in roots if r not in known]
+    def _units(self, units: list[str]) -> list[bytes]:
+        """The ids of words and runs of signs, remembered."""
+        wanted = set(units)
+        out = self.known.take(wanted)
         plain, other = [], []
-        for r in map(bytes.decode, roots):
-            (plain if _PLAIN.fullmatch(r) else other).append(r)
-        for own, pack in ((plain, self._pack_plain), (other, self._pack)):
-            known.update(zip(map(str.encode, own), pack(own), strict=True))
-        for w, own in parts.items():
-            out[w] = known[own[0]] + known[own[1]] if len(own) > 1 else known[w]
-        if len(known) > self.remembered:
-            known.clear()
+        for u in wanted.difference(out):
+            (plain if _PLAIN.fullmatch(u) else other).append(u)
+        made = dict(zip(plain, self._pack_plain(plain), strict=True))
+        made.update(zip(other, self._pack(other), strict=True))
+        self.known.put(made)
+        out.update(made)
+        return [out[u] for u in units]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The little-endian ids of each text, without an end.
+
+        Words are split, told apart and put together again as arrays; only distinct words and signs
+        are handled one by one. Texts that may hold a special token are tokenised whole."""
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        lowered = pc.fill_null(pc.if_else(special, "", pc.ascii_lower(texts)), "")  # the vocabulary is of lower case
+        flat, bounds = spell(lowered, _CUT, self._units, self.kind)
+        bounds = bounds.tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._pack([texts[i].as_py()])[0]
         return out
 
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        """The little-endian ids of each text, without an end."""
-        # the vocabulary is of lower case; texts that may hold a special token go as they are
-        split = [None if t and b"<|" in t else (t or b"").lower().split() for t in texts]
-        words: set[bytes] = set()
-        for own in split:
-            words.update(own or ())
-        get = self._learn(words).__getitem__
-        whole = iter(self._pack([t.decode() for t, own in zip(texts, split, strict=True) if own is None]))
-        return [next(whole) if own is None else b"".join(map(get, own)) for own in split]
-
-
-_LOADED: dict[int, WordTokenizer] = {}
-
-
-def _loaded(spec) -> WordTokenizer:
-    """One tokenizer per worker and broadcast; its memory of words serves later tasks too."""
-    if spec.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[spec.id] = WordTokenizer(spec.value)
-    return _LOADED[spec.id]
-
-
-class Spec:
-    """A broadcast with an identity that survives pickling."""
-
-    def __init__(self, spark, text: str):
-        self.held = spark.sparkContext.broadcast(text)
-        self.id = hash(text)
-
-    @property
-    def value(self) -> str:
-        return self.held.value
-
 
 class RoomTree:
     """A tournament tree over the free room of bins: the first bin with enough room wins."""
@@ -176,16 +167,16 @@ def first_fit_decreasing(sizes: list[int], capacity: int = LENGTH) -> tuple[list
 def pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
     """(id, start, length, doc_tokens, ids): documents as cut token runs, ids packed in the narrowest type."""
     with open(vocabulary or vocabulary_path(), encoding="utf-8") as f:
-        spec = Spec(docs.sparkSession, f.read())
+        held = docs.sparkSession.sparkContext.broadcast(WordTokenizer(f.read()))  # a worker keeps it, and its memory of words, from task to task
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        tokenizer = _loaded(spec)
+        tokenizer = held.value
         kind = tokenizer.kind
         wide, last = kind.itemsize, np.array([end], dtype=kind).tobytes()
-        for part in slices(batches):
+        for part in slices(batches, rows=AT_ONCE_ROWS, size=AT_ONCE_BYTES):
             rows, starts, sizes, totals, ids = [], [], [], [], []
-            for row, own in enumerate(tokenizer.ids(as_bytes(part.column("text")))):
+            for row, own in enumerate(tokenizer.ids(part.column("text"))):
                 own += last
                 total = len(own) // wide
                 for s in range(0, total, length):

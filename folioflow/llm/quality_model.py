@@ -32,7 +32,7 @@ SAMPLE = 6000
 PASSES = 3
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _EDGES = regex.compile(r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", regex.S)
 
 
