@@ -22,18 +22,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import as_bytes, cut_lineage, map_slices, slices, with_fields
+from folioflow.llm.common import Remembered, cut_lineage, map_slices, slices, spell, with_fields
 
 VOCABULARY = "piece_bpe_32k.model"
 DISCOUNT = 0.75
 EVEN = 0.01
 #: 16 bytes each.
 BROADCAST_BIGRAMS = 6_000_000
-REMEMBERED = 600_000
-_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+REMEMBERED = 450_000
+#: A word and the ASCII signs at its end.
+_CUT = r"(?s)^(?P<root>.*[^!-/:-@\[-`{-~])(?P<signs>[!-/:-@\[-`{-~]+)$"
+#: Rows and text bytes worked on at once: bigrams that they share are looked up once.
+AT_ONCE_ROWS, AT_ONCE_BYTES = 2000, 8 << 20
 #: Labelled ids up to which the labels are broadcast to the texts. Beyond it both are shuffled.
 BROADCAST_LABELS = 1_000_000
 #: Distinct bigrams that a task holds before it hands them on.
@@ -50,7 +54,7 @@ def vocabulary_bytes(path: str | None = None) -> bytes:
 class Pieces:
     """Piece ids of texts, word by word with a memory.
 
-    Words are runs without ASCII white space; ASCII signs at a word's ends are words of their own."""
+    Words are runs without ASCII white space; ASCII signs at a word's end are words of their own."""
 
     def __init__(self, vocabulary: bytes, remembered: int = REMEMBERED):
         self.vocabulary, self.remembered = vocabulary, remembered
@@ -68,42 +72,36 @@ class Pieces:
             import sentencepiece
 
             self._model = sentencepiece.SentencePieceProcessor(model_proto=self.vocabulary)
-            self._known: dict[bytes, bytes] = {}
+            self._known = Remembered(self.remembered)
         return self._model
 
     @property
     def size(self) -> int:
         return self.model.get_piece_size()
 
-    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        model = self.model
-        kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        split = [(t or b"").split() for t in texts]
-        words: set[bytes] = set()
-        for own in split:
-            words.update(own)
-        if len(self._known) > self.remembered:
-            self._known = {}
-        known, out, parts = self._known, {}, {}
-        for w in words:
-            if (got := known.get(w)) is not None:
-                out[w] = got
-            else:
-                core = w.strip(_SIGNS)
-                at = w.find(core)
-                parts[w] = [p for p in (w[:at], core, w[at + len(core) :]) if p] if core else [w]
-        new = list({p for own in parts.values() for p in own if p not in known})
-        for w, own in zip(new, model.encode([w.decode() for w in new], num_threads=1), strict=True):
-            known[w] = np.array(own, dtype=kind).tobytes()
-        for w, own in parts.items():
-            out[w] = b"".join([known[p] for p in own])
-        get = out.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), kind).astype(np.int64) for own in split]
-
-    def bigrams(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """``before * (size + 1) + piece`` of each token; ``size`` stands before a text's first."""
+    def _units(self, units: list[str]) -> list[bytes]:
+        wanted = set(units)
+        out = self._known.take(wanted)
+        new = list(wanted.difference(out))
+        ids = self.model.encode(new, num_threads=1)
+        made = {u: np.array(own, dtype=self.kind).tobytes() for u, own in zip(new, ids, strict=True)}
+        self._known.put(made)
+        out.update(made)
+        return [out[u] for u in units]
+
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+
+    def bigrams(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``before * (size + 1) + piece`` of each token of the texts, and where each text's begin; ``size``
+        stands before a text's first."""
         size = self.size
-        return [np.append(size, own[:-1]) * (size + 1) + own if len(own) else own for own in self.ids(texts)]
+        ids, bounds = spell(pc.fill_null(texts, ""), _CUT, self._units, self.kind)
+        ids = ids.astype(np.int64)
+        before = np.append(size, ids[:-1]) if len(ids) else ids
+        before[bounds[:-1][np.diff(bounds) > 0]] = size
+        return before * (size + 1) + ids, bounds
 
 
 def count(docs: DataFrame, pieces, text_col: str = "text", mark_col: str = "target") -> DataFrame:
@@ -126,12 +124,11 @@ def count(docs: DataFrame, pieces, text_col: str = "text", mark_col: str = "targ
                 at = slice(lo, lo + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(target[at]), pa.array(total[at])], ["key", "target", "background"])
 
-        for part in slices(batches):
-            own = pieces.value.bigrams(as_bytes(part.column("text")))
-            marks = part.column("mark").to_pylist()
+        for part in slices(batches, rows=AT_ONCE_ROWS, size=AT_ONCE_BYTES):
+            own, bounds = pieces.value.bigrams(part.column("text"))
+            marks = np.repeat(part.column("mark").to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
             for marked in (True, False):
-                mine = [o for o, m in zip(own, marks, strict=True) if m == marked]
-                k, n = np.unique(np.concatenate(mine) if mine else np.empty(0, np.int64), return_counts=True)
+                k, n = np.unique(own[marks == marked], return_counts=True)
                 pending.append((k, n if marked else np.zeros_like(n), n))
             if sum(len(p[0]) for p in pending) > HELD // 4:
                 merge()
@@ -182,18 +179,18 @@ def score(docs: DataFrame, mark_col: str = "target", id_col: str = "doc_id", tex
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         keys, values = pair.value
-        own = held.value.bigrams(as_bytes(part.column("text")))
-        sizes = np.array([len(o) for o in own], dtype=np.int64)
-        sums = np.zeros((len(own), 2))
+        own, bounds = held.value.bigrams(part.column("text"))
+        sizes = np.diff(bounds)
+        sums = np.zeros((len(sizes), 2))
         some = np.flatnonzero(sizes)
         if len(some):
-            kinds, place = np.unique(np.concatenate(own), return_inverse=True)
+            kinds, place = np.unique(own, return_inverse=True)
             terms = values[np.searchsorted(keys, kinds)].astype(np.float64)[place]
-            sums[some] = np.add.reduceat(terms, np.append(0, np.cumsum(sizes)[:-1])[some], axis=0)
+            sums[some] = np.add.reduceat(terms, bounds[some], axis=0)
         sums /= np.maximum(sizes, 1)[:, None]
         return pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(sums[:, 0]), pa.array(sums[:, 1])], schema.names)
 
-    return map_slices(source, run, schema).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    return map_slices(source, run, schema, rows=AT_ONCE_ROWS, size=AT_ONCE_BYTES).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def _score_by_join(source: DataFrame, table: DataFrame, held) -> DataFrame:
@@ -202,9 +199,9 @@ def _score_by_join(source: DataFrame, table: DataFrame, held) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            own = held.value.bigrams(as_bytes(part.column("text")))
-            for i, o in enumerate(own):
-                keys, n = np.unique(o, return_counts=True)
+            own, bounds = held.value.bigrams(part.column("text"))
+            for i in range(part.num_rows):
+                keys, n = np.unique(own[bounds[i] : bounds[i + 1]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part.column("row")[i].as_py(), dtype=np.int64)), pa.array(keys), pa.array(n.astype(np.int64))], ["row", "key", "n"])
 
     rows = keyed.dropDuplicates(["row"]).select("row", "text")

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import string
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -414,7 +416,16 @@ def test_extraction_of_the_tables(spark, sf_dir):
 
 def brute_losses(pieces, texts, marks):
     size = pieces.size
-    grams = [b.tolist() for b in pieces.bigrams([None if t is None else t.encode() for t in texts])]
+    keys, bounds = pieces.bigrams(pa.array(texts, pa.string()))
+    grams = [keys[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+    model = pieces.model
+    for text, own in zip(texts, grams, strict=True):  # the words one by one
+        ids = []
+        for w in (text or "").encode().split():
+            core = w.decode().rstrip(string.punctuation)
+            for unit in (core, w.decode()[len(core) :]) if core else (w.decode(),):
+                ids += model.encode(unit) if unit else []
+        assert own == [(ids[i - 1] if i else size) * (size + 1) + x for i, x in enumerate(ids)]
     out = []
     for chosen in ([g for g, m in zip(grams, marks, strict=True) if m], grams):
         pair, before, kinds, own = {}, {}, {}, {}
@@ -469,3 +480,21 @@ def test_sql_agrees(spark, sf_dir):
         cols = sorted(got.columns)
         assert cols == sorted(want.columns)
         assert sorted(map(tuple, got[cols].astype(str).to_numpy())) == sorted(map(tuple, want[cols].astype(str).to_numpy()))
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "same text here"), (None, "same text here"), (None, None), (1, "other words entirely"), (1, "other words entirely")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_first(docs).collect()) == [(0, ""), (0, "same text here"), (1, "other words entirely")]
+    assert simhash.group_report(docs).count() == 5 and packing.pack_report(docs).count() == 5 and sharding.shard_report(docs).count() == 5
+    assert language_id.language_report(docs.withColumn("lang", F.lit("en"))).count() == 5 and quality_model.quality_report(docs, labels_rows(spark)).count() == 5
+    assert decontamination.overlap_report(docs, bench_rows(spark)).count() == 5 and lm_scoring.lm_report(docs, labels_rows(spark)).count() == 5
+
+
+def test_memory_of_words():
+    from folioflow.llm.common import Remembered
+
+    held = Remembered(6)
+    for i in range(20):
+        assert held.take({"hot"}) in ({}, {"hot": 1})
+        held.put({"hot": 1, i: i})
+    assert held.take({"hot", 19, 0}) == {"hot": 1, 19: 19} and len(held.new) + len(held.old) <= 7
