@@ -85,6 +85,15 @@ def encoding_corruption(spark, d):
     return damaged.select("doc_id", paragraphs.corruption(F.col("text")).alias("ratio"))
 
 
+@query("encoding_corruption_all", r"""
+WITH s AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), 'th', chr(65533)), '[\s\x0B\x1C-\x1F]', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) = 0 THEN 0.0 ELSE length(regexp_replace(t, '[^\x{FFFD}\x00-\x1F\x{E000}-\x{F8FF}]', '', 'g')) / length(t) END AS ratio FROM s""")
+def encoding_corruption_all(spark, d):
+    """``encoding_corruption`` over the documents of every source."""
+    damaged = table(spark, d, "documents").withColumn("text", F.replace(F.col("text"), F.lit("th"), F.lit("�")))
+    return damaged.select("doc_id", paragraphs.corruption(F.col("text")).alias("ratio"))
+
+
 def _chars(spark, d):
     """Characters of the benchmark's texts, ten texts a document, with fonts, places and turned ones made from them."""
     b = table(spark, d, "benchmark").where("text is not null")

@@ -39,3 +39,8 @@ def test_query(spark, sf_dir, duck, name):
     want = duck.execute(sql).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_corruption_of_every_document(spark, sf_dir):
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in catalog.queries()["encoding_corruption_all"](spark, sf_dir).collect()} == docs
