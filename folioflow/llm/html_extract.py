@@ -3,8 +3,12 @@
 A page's text blocks are grouped by their root-to-leaf tag path. For each path
 the text length and the punctuation per block are aggregated, fused with the
 share of text outside links, smoothed over paths by how many steps they differ,
-and thresholded against the page's best path; the blocks of the paths that pass
-are the content. Parts that their element, role or class names as something else
+and thresholded against the page's best path. The blocks of the paths that pass
+choose the content's root: the outermost ``main`` and ``article`` elements that hold
+such blocks, if half of their unlinked text is in there, or else the innermost container
+around all of them. The content is every block in the root, short and linked ones too,
+and the blocks that pass elsewhere; where the root is the page's body, that is the
+whole page. Parts that their element, role or class names as something else
 (menus, headers and footers of the page, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) take no part.
 
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import map_slices
 
-#: A path is content from this share of the best path's smoothed ratio on.
+#: A path takes part in choosing the root from this share of the best path's smoothed ratio on.
 THRESHOLD = 0.1
 #: Steps over which a path's ratio spreads to its neighbours.
 SPREAD = 1.0
@@ -50,6 +54,8 @@ OTHER_NAMES = frozenset(
     "pager toolbar skip header responses discussion trackbacks pingbacks adsbygoogle adunit dfp taboola outbrain sponsors paywall disclaimer copyright colophon "
     "sidemenu sidenav topnav dropdown offcanvas lightbox tooltip snackbar toast rail teaser teasers tagcloud toc".split()
 )
+_SEMANTIC_ROOTS = frozenset(("main", "article"))
+_CONTAINERS = frozenset("html body main article section div center".split())
 _KEPT_ROOTS = frozenset(("html", "body", "main", "article"))
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
@@ -75,14 +81,17 @@ def _is_other(tag: str, attributes: str, inside: list[str]) -> bool:
     return False
 
 
-def text_blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters in links) of the blocks that may be content, in page order."""
-    blocks: list[tuple[str, str, int]] = []
+def text_blocks(page: str) -> list[tuple[str, str, int, tuple[int, ...]]]:
+    """(path, text, characters in links, number of each element on the path) of the blocks that may be content, in page order."""
+    blocks: list[tuple[str, str, int, tuple[int, ...]]] = []
     stack: list[str] = []
+    numbers: list[int] = []
+    opened = 0
     other = 0  # the depth of the outermost part that isn't the article, or 0
     words: list[str] = []
     linked = 0
     leaf = ""
+    chain: tuple[int, ...] = ()
 
     def flush() -> None:
         nonlocal linked
@@ -90,11 +99,11 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
             text = " ".join("".join(words).split())
             words.clear()
             if text:
-                blocks.append((leaf, text, min(linked, len(text))))
+                blocks.append((leaf, text, min(linked, len(text)), chain))
         linked = 0
 
     def add(raw: str, decode: bool = True) -> None:
-        nonlocal leaf, linked
+        nonlocal leaf, chain, linked
         if other or not raw:
             return
         text = html.unescape(raw) if decode and "&" in raw else raw
@@ -102,6 +111,7 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
             if not text.strip():
                 return
             leaf = "/".join(t for t in stack if t not in INLINE)
+            chain = tuple(k for t, k in zip(stack, numbers, strict=True) if t not in INLINE)
         words.append(text)
         if "a" in stack:
             linked += len(text)
@@ -111,7 +121,7 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
         nonlocal other
         if any(t not in INLINE for t in stack[depth:]):
             flush()
-        del stack[depth:]
+        del stack[depth:], numbers[depth:]
         if other > depth:
             other = 0
 
@@ -168,6 +178,8 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
         if tag in ("html", "body") and tag in stack:
             continue
         stack.append(tag)
+        opened += 1
+        numbers.append(opened)
         if not other and _is_other(tag, m[4], stack):
             flush()
             other = len(stack)
@@ -175,10 +187,10 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
     return blocks
 
 
-def path_ratios(blocks: list[tuple[str, str, int]]) -> dict[str, float]:
+def path_ratios(blocks: list[tuple[str, str, int, tuple[int, ...]]]) -> dict[str, float]:
     """The smoothed, fused ratio of each path."""
     sums: dict[str, list[float]] = {}
-    for path, text, links in blocks:
+    for path, text, links, _ in blocks:
         own = sums.setdefault(path, [0, 0, 0, 0])
         own[0] += 1
         own[1] += len(text)
@@ -206,6 +218,27 @@ def path_ratios(blocks: list[tuple[str, str, int]]) -> dict[str, float]:
     return out
 
 
+def content_roots(passed: list[tuple[str, str, int, tuple[int, ...]]]) -> set[int]:
+    """Numbers of the elements whose blocks are all content; 0 is the page itself."""
+    roots, inside, free = set(), 0, 0
+    for path, text, links, chain in passed:
+        free += len(text) - links
+        at = next((k for t, k in zip(path.split("/"), chain, strict=False) if t in _SEMANTIC_ROOTS), None)
+        if at is not None:
+            roots.add(at)
+            inside += len(text) - links
+    if roots and 2 * inside >= free:
+        return roots
+    first, last = min(passed, key=lambda b: b[3]), max(passed, key=lambda b: b[3])
+    common = [x for x, y in zip(first[3], last[3], strict=False) if x == y]  # an element has one number, so these are around all
+    if common and common == list(first[3]) == list(last[3]):
+        common.pop()  # a lone block isn't around its neighbours
+    tags = first[0].split("/")
+    while common and tags[len(common) - 1] not in _CONTAINERS:
+        common.pop()
+    return {common[-1] if common else 0}
+
+
 def extract_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """The main text of one page."""
     blocks = text_blocks(page) if page else []
@@ -213,7 +246,8 @@ def extract_text(page: str | None, threshold: float = THRESHOLD) -> str:
         return ""
     ratios = path_ratios(blocks)
     least = threshold * max(ratios.values())
-    return "\n\n".join(text for path, text, _ in blocks if ratios[path] >= least)
+    roots = content_roots([b for b in blocks if ratios[b[0]] >= least])
+    return "\n\n".join(text for path, text, _, chain in blocks if ratios[path] >= least or 0 in roots or not roots.isdisjoint(chain))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -400,6 +400,19 @@ def test_extraction(spark):
     assert html_extract.extraction_report(pages.limit(0)).count() == 0
 
 
+def test_short_and_linked_parts_of_the_article_stay():
+    paragraph = "A sentence of the article, with signs. " * 13
+    cells = "".join(f"<tr><td>cell {i:03d}</td></tr>" for i in range(30))
+    links = "".join(f'<li><a href="/{i}">Reference {i}</a></li>' for i in range(10))
+    inner = f"<h1>T</h1>{f'<h2><a href=x>Part</a></h2><p>{paragraph}</p>' * 5}<table><tbody>{cells}</tbody></table><ul>{links}</ul>"
+    want = ["T", *["Part", paragraph.strip()] * 5, *[f"cell {i:03d}" for i in range(30)], *[f"Reference {i}" for i in range(10)]]
+    menu = "<div><ul><li><a href=y>Elsewhere</a></li></ul></div>"
+    for page in (f"<html><body>{menu}<article>{inner}</article>{menu}</body></html>", f"<body>{menu}<main><div>{inner}</div></main></body>", f"<body>{menu}<div><div>{inner}</div></div></body>", f"<body>{inner}</body>", inner):
+        assert html_extract.extract_text(page).split("\n\n") == want
+    lone = f"<h2><a href=x>Part</a></h2><p>{paragraph}</p><ul>{links}</ul>"
+    assert html_extract.extract_text(f"<body><div>{lone}</div></body>").split("\n\n") == ["Part", paragraph.strip(), *want[-10:]]
+
+
 def test_extraction_of_the_tables(spark, sf_dir):
     import html
 
