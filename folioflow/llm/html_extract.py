@@ -10,7 +10,11 @@ around all of them. The content is every block in the root, short and linked one
 and the blocks that pass elsewhere; where the root is the page's body, that is the
 whole page. Parts that their element, role or class names as something else
 (menus, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) take no part.
+scripts, styles, reader comments) take no part. A class or id names one if it is a
+known name, or a compound of known names and words for place or shape; words for
+comments, sharing and sidebars win over post, entry and content. Headings, paragraphs
+and other running text aren't judged by class or id, and a section, or an element
+inside ``article``, isn't by an id that its heading may have given it.
 
 Within a block, white space becomes one space and character references are
 decoded; blocks are joined in page order by a blank line. Nothing else is dropped.
@@ -54,6 +58,21 @@ OTHER_NAMES = frozenset(
     "pager toolbar skip header responses discussion trackbacks pingbacks adsbygoogle adunit dfp taboola outbrain sponsors paywall disclaimer copyright colophon "
     "sidemenu sidenav topnav dropdown offcanvas lightbox tooltip snackbar toast rail teaser teasers tagcloud toc".split()
 )
+#: Words that name a place or shape; a name of these and OTHER_NAMES alone is a compound that counts.
+PLAIN_WORDS = frozenset(
+    "site page main global top bottom left right primary secondary inner outer middle upper lower small large mobile desktop fixed sticky floating first last "
+    "box bar block area zone slot unit container wrap wrapper panel pane row col column section region group module part inline holder frame layer "
+    "list links link item items button buttons btn icon icons form field input title heading label text body bg image img logo count trail drawer toggle bottom "
+    "post posts entry entries article articles content contents story stories news blog user reader new number next previous prev more all my the "
+    "media network facebook twitter by this on in to of for and cta google gpt wp js jp mw vector ui div html a an".split()
+)
+#: Words that win over post, entry and content beside them.
+WINNING_NAMES = frozenset("comment comments commentlist respond reply replies responses discussion disqus trackbacks pingbacks share sharing social sidebar aside related recommended".split())
+CONTENT_NAMES = frozenset("article content entry post".split())
+#: Names that a heading's generated id doesn't give to a section of an article by chance.
+UNMISTAKABLE = frozenset("gpt navbar breadcrumbs masthead topbar sidebar adverts adsense adslot promo gdpr comments commentlist disqus trackbacks pingbacks pager toolbar adsbygoogle adunit dfp taboola outbrain paywall colophon sidemenu sidenav topnav offcanvas lightbox snackbar tagcloud".split())
+#: Elements of running text, which neither class nor id makes another part.
+TEXT_ELEMENTS = frozenset("h1 h2 h3 h4 h5 h6 p dt dd blockquote pre code figcaption caption".split())
 _SEMANTIC_ROOTS = frozenset(("main", "article"))
 _CONTAINERS = frozenset("html body main article section div center".split())
 _KEPT_ROOTS = frozenset(("html", "body", "main", "article"))
@@ -64,6 +83,24 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _MARKS = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
+def _names_other(tag: str, value: str, by_heading: bool) -> bool:
+    """Whether a class or an id is a name of another part, or a compound of such names and plain words."""
+    parts = [[w.lower() for w in _NAME.findall(part)] for part in value.split()]
+    content = any(w in CONTENT_NAMES for words in parts for w in words)
+    for words in parts:
+        names = [w for w in words if w in OTHER_NAMES and not (tag == "header" and w == "header")]
+        if not names or not all(w in OTHER_NAMES or w in PLAIN_WORDS or w.isdigit() for w in words):
+            continue
+        if content and not WINNING_NAMES.intersection(names):
+            continue
+        if "content" in words and "wrap" in words and "sidebar" in words:
+            continue  # a theme's wrapper of both
+        if by_heading and not UNMISTAKABLE.intersection(words):
+            continue
+        return True
+    return False
+
+
 def _is_other(tag: str, attributes: str, inside: list[str]) -> bool:
     if tag in OTHER_ELEMENTS or tag == "header" and "article" not in inside and "main" not in inside:
         return True
@@ -75,8 +112,9 @@ def _is_other(tag: str, attributes: str, inside: list[str]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and any(w.lower() in OTHER_NAMES for part in value.split() for w in _NAME.findall(part)):
-            if tag == "header" or not any(w.lower() in ("article", "content", "entry", "post") for w in _NAME.findall(value)):
+        if name in ("class", "id") and tag not in TEXT_ELEMENTS and not {"pre", "code"}.intersection(inside):
+            by_heading = name == "id" and (tag == "section" or "article" in inside)
+            if _names_other(tag, value, by_heading):
                 return True
     return False
 

@@ -413,6 +413,17 @@ def test_short_and_linked_parts_of_the_article_stay():
     assert html_extract.extract_text(f"<body><div>{lone}</div></body>").split("\n\n") == ["Part", paragraph.strip(), *want[-10:]]
 
 
+def test_names_of_parts():
+    said = "Words of it, said. " * 9
+    kept = ['section id="discussion"', 'h2 id="search-algorithms"', 'h2 id="search"', 'p class="notice"', 'div id="copyright-law"', 'h2 id="share-prices"', 'div class="entry-header"', 'header class="entry-header"', 'div class="post-content"', 'div id="social-history"', 'section id="social-media"', 'div id="content-sidebar-wrap"']
+    gone = ['div class="post-comments"', 'div class="cookie-notice"', 'div class="entry-share-buttons"', 'div id="sidebar"', 'section id="comments"', 'div class="content-sidebar"', 'div id="div-gpt-ad-12"', 'div class="siteFooter"', 'div class="ad"', 'ul class="nav main-menu"', 'div class="post-related"']
+    for part in kept + gone:
+        page = f"<body><article><p>{said}</p><{part}>Part, of it.</{part.split()[0]}><p>{said}</p></article></body>"
+        assert ("Part, of it." in html_extract.extract_text(page)) == (part in kept), part
+    code = '<pre><code>x = 1 <span class="token comment"># one</span></code></pre>'
+    assert "# one" in html_extract.extract_text(f"<article><p>{said}</p>{code}</article>")
+
+
 def test_extraction_of_the_tables(spark, sf_dir):
     import html
 
