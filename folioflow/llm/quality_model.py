@@ -33,7 +33,8 @@ PASSES = 3
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 REMEMBERED = 400_000
-_EDGES = regex.compile(r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", regex.S)
+_FIRST = regex.compile(r"[\p{L}\p{N}]")
+_LAST = regex.compile(r"(?r)[\p{L}\p{N}]")  # searched from the end
 
 
 class Features:
@@ -44,7 +45,9 @@ class Features:
         self.known: dict[str, tuple[int, int]] = {}
 
     def _word(self, word: str) -> tuple[int, int]:
-        front, core, tail = _EDGES.match(word[:200]).groups()
+        first = _FIRST.search(word)
+        start, end = (first.start(), _LAST.search(word).end()) if first else (len(word), len(word))
+        front, core, tail = word[:start], word[start:end], word[end:]
         case = "U" if len(core) > 1 and core.isupper() else "T" if core[:1].isupper() else "l" if core else "-"
         return zlib.crc32(core.lower().encode()), zlib.crc32(f"{front[:3]}{case}{tail[:3]}".encode())
 

@@ -338,6 +338,13 @@ def test_quality_scores(spark):
     assert ((got.score >= 0.7).astype(int) == got.predicted).all()
 
 
+def test_long_words_count_to_their_end():
+    long = "字" * 5000
+    word = quality_model.Features()._word
+    assert word(long + "a") != word(long + "b") and word(long + "。")[1] != word(long)[1] and word(long + "。")[0] == word(long)[0]
+    assert word("-" * 5000 + "a")[0] == word("a")[0] and word("-" * 5000) == word("-" * 3) and word('"Ab!?') != word('"Ab')
+
+
 def test_quality_of_odd_rows(spark):
     got = quality_model.quality_report(odd_rows(spark), labels_rows(spark)).collect()
     assert len(got) == len(TEXTS) + 1 and all(0 <= r.score <= 1 for r in got)
