@@ -4,6 +4,10 @@ Every figure is a DataFrame expression over the whole text, so the rules run
 inside the JVM without user functions. A word is a run of characters other than
 ASCII white space.
 
+Limit: the stop words are of English, German, French and Spanish alone, so a clean
+text in another language (Russian, Polish, Chinese) fails the stop-word rule and isn't
+kept. The SQL that defines ``kept`` has the same list.
+
 Defined results: null and empty texts have no words, all figures zero, and fail
 the base rules; a ratio over nothing is zero; repeated rows are judged alike.
 """
