@@ -211,11 +211,13 @@ def group_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id. Repeated rows of that id stay once.
-
-    Rows without an id can't stand for a group; of those with equal texts one stays. Texts are
-    shuffled once: the join on the id and the removal of repeated rows share their partitioning."""
-    own = F.col(f"`{id_col}`")
-    keep = near_duplicates(docs, id_col, text_col).where("id = component").select(F.col("id").alias("__keep")).distinct()
-    named = docs.where(own.isNotNull()).join(keep, own == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(own.isNull()).dropDuplicates([text_col]))
+    """``docs`` with one row of each group: that of the smallest id, and of its texts that of the smallest hash.
+
+    A row is known by its id and a hash of its text, so repeated rows stay once, and an id with
+    two texts stands for each of them apart. A group without any id keeps one row, too. Texts are
+    shuffled once: the join on the key and the removal of repeated rows share their partitioning."""
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    row = F.struct(own.isNull().alias("unnamed"), own.alias("id"), F.xxhash64(text).alias("hash"))
+    keyed = docs.withColumn("__row", row)
+    keep = near_duplicates(keyed, "__row", text_col).where("id = component").select(F.col("id").alias("__keep")).distinct()
+    return keyed.join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).drop("__row")

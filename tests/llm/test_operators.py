@@ -521,6 +521,17 @@ def test_rows_without_ids(spark):
     assert decontamination.overlap_report(docs, bench_rows(spark)).count() == 5 and lm_scoring.lm_report(docs, labels_rows(spark)).count() == 5
 
 
+def test_one_row_of_each_group_stays(spark):
+    base = [f"t{i}" for i in range(300)]
+    a, near, other = " ".join(base), " ".join(base).upper(), "other words entirely"
+    docs = spark.createDataFrame([(None, a), (None, near), (None, near), (None, other), (None, other + " x"), (7, other), (7, a), (8, near), (8, "alone on its own here"), (None, "nobody knows this one"), (None, "nobody knows this one")], "doc_id long, text string")
+    prints = {t: brute_fingerprint(t) for t in {r.text for r in docs.collect()}}
+    group = dict(zip(prints, brute_components(list(range(len(prints))), list(prints.values())), strict=True))
+    rows = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+    assert group[a] == group[near] and sorted(group[t] for _, t in rows) == sorted(set(group.values()))
+    assert {(7, other), (7, a), (8, "alone on its own here"), (None, "nobody knows this one")} <= set(rows)
+
+
 def test_memory_of_words():
     from folioflow.llm.common import Remembered
 
