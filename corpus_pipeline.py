@@ -9,9 +9,6 @@ from __future__ import annotations
 from folioflow.llm import decontamination, language_id, packing, quality_model, simhash
 from folioflow.llm.common import cut_lineage, table
 
-#: The classifier rejects below an even chance here, so that short clean texts, of which it knows little, stay.
-QUALITY_THRESHOLD = 0.5
-
 
 def language_stage(spark, docs, sf_dir):
     """Documents whose language can't be told go."""
@@ -22,7 +19,7 @@ def language_stage(spark, docs, sf_dir):
 def quality_stage(spark, docs, sf_dir):
     """Documents that the quality classifier rejects go."""
     labels = quality_model.learnable(table(spark, sf_dir, "labels"))
-    return quality_model.keep_good(docs, quality_model.fit(docs, labels), QUALITY_THRESHOLD)
+    return quality_model.keep_good(docs, quality_model.fit(docs, labels))
 
 
 def near_duplicate_stage(spark, docs, sf_dir):

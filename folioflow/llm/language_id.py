@@ -14,7 +14,8 @@ times languages) reach the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 if no language was learned every row is; ties go to the first language by name;
-the score is the posterior of the predicted language under even priors.
+the score is the posterior of the predicted language under even priors; a row
+without an id isn't learned from and isn't held out.
 """
 
 from __future__ import annotations
@@ -263,7 +264,7 @@ def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def language_report(docs: DataFrame) -> DataFrame:
     """The digest of ``identify``, fitted on the rows outside the held-out fold."""
     found = identify(docs, fit(learnable(docs)))
-    return found.select(F.col("id").alias("doc_id"), (crc_fold(F.col("id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(crc_fold(F.col("id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: Model, languages: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
