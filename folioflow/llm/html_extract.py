@@ -1,26 +1,35 @@
 """Main-text extraction by tag-path ratios.
 
-A page's text blocks are grouped by their root-to-leaf tag path. For each path
-the text length and the punctuation per block are aggregated, fused with the
-share of text outside links, smoothed over paths by how many steps they differ,
-and thresholded against the page's best path. The blocks of the paths that pass
-choose the content's root: the outermost ``main`` and ``article`` elements that hold
-such blocks, if half of their unlinked text is in there, or else the innermost container
-around all of them. The content is every block in the root, short and linked ones too,
-and the blocks that pass elsewhere; where the root is the page's body, that is the
-whole page. Parts that their element, role or class names as something else
-(menus, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) take no part. A class or id names one if it is a
-known name, or a compound of known names and words for place or shape; words for
-comments, sharing and sidebars win over post, entry and content. Headings, paragraphs
-and other running text aren't judged by class or id, and a section, or an element
-inside ``article``, isn't by an id that its heading may have given it.
-
-Within a block, white space becomes one space and character references are
-decoded; blocks are joined in page order by a blank line. Nothing else is dropped.
+A page's text blocks are grouped by their root-to-leaf tag path. For each path the
+text length and the punctuation per block are aggregated, fused with the share of
+text outside links and smoothed over the tree of paths: what a path has counts for
+another one less by ``SPREAD`` with each step between them. Paths whose ratio is
+``THRESHOLD`` of the best one's or more select the content nodes.
+
+Parts that their element, role, class or id names as something else (menus,
+headers and footers of the page, sidebars, notices, adverts, forms, reader
+comments) make paths of their own, whose ratio is divided by ``LOWERED``. So
+names alone don't take a part out, but one needs a ratio out of all proportion to
+stay. A class or id names such a part if it is a known name, or a compound of known
+names and words for place or shape; words for comments, sharing and sidebars win
+over post, entry and content. Headings, paragraphs and other running text aren't
+judged by class or id, and a section, or an element inside ``article``, isn't by an
+id that its heading may have given it.
+
+The selected nodes are content, and they choose its root: the outermost ``main``
+and ``article`` elements that hold such nodes, if ``INSIDE`` of their unlinked text
+is in there, or else the innermost container around them all. What else is in the
+root, short and linked blocks too, is content as well unless its path is lowered.
+Within a block, white space becomes one space and character references
+are decoded; blocks are joined in page order by a blank line.
+
+Time and memory are linear in the page: blocks know their path and element by
+number, and smoothing pushes sums up and down the tree of paths.
 
 Defined results: a null or empty page gives an empty text; unclosed and stray
-tags are repaired as far as they nest; repeated rows are extracted one by one.
+tags are repaired as far as they nest; where all text is linked every block is
+content; repeated rows are extracted one by one. Scripts, styles, templates and
+other raw elements aren't text.
 """
 
 from __future__ import annotations
@@ -28,6 +37,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +45,14 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import map_slices
 
-#: A path takes part in choosing the root from this share of the best path's smoothed ratio on.
-THRESHOLD = 0.1
-#: Steps over which a path's ratio spreads to its neighbours.
-SPREAD = 1.0
+#: A path's nodes are content from this share of the best path's smoothed ratio on.
+THRESHOLD = 0.5
+#: What a path's ratio counts for a path one step away.
+SPREAD = 0.25
+#: The ratio of a path through a part named as something else is divided by this.
+LOWERED = 100
+#: The share of the selected nodes' text that ``main`` and ``article`` must hold to be the root.
+INSIDE = 0.6
 
 #: How HTML elements nest and show.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -101,191 +115,220 @@ def _names_other(tag: str, value: str, by_heading: bool) -> bool:
     return False
 
 
-def _is_other(tag: str, attributes: str, inside: list[str]) -> bool:
-    if tag in OTHER_ELEMENTS or tag == "header" and "article" not in inside and "main" not in inside:
+def _is_other(tag: str, attributes: str, opened: Counter) -> bool:
+    if tag in OTHER_ELEMENTS or tag == "header" and not opened["article"] and not opened["main"]:
         return True
-    if not attributes or tag in _KEPT_ROOTS:
+    if not attributes or tag in _KEPT_ROOTS and tag != "article":
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
+        if tag == "article":
+            if name == "class" and WINNING_NAMES.intersection(w.lower() for w in _NAME.findall(value)) and _names_other(tag, value, False):
+                return True
+            continue
         if name == "hidden" or name == "role" and value.lower() in OTHER_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and tag not in TEXT_ELEMENTS and not {"pre", "code"}.intersection(inside):
-            by_heading = name == "id" and (tag == "section" or "article" in inside)
+        if name in ("class", "id") and tag not in TEXT_ELEMENTS and not opened["pre"] and not opened["code"]:
+            by_heading = name == "id" and (tag == "section" or opened["article"] > 0)
             if _names_other(tag, value, by_heading):
                 return True
     return False
 
 
-def text_blocks(page: str) -> list[tuple[str, str, int, tuple[int, ...]]]:
-    """(path, text, characters in links, number of each element on the path) of the blocks that may be content, in page order."""
-    blocks: list[tuple[str, str, int, tuple[int, ...]]] = []
-    stack: list[str] = []
-    numbers: list[int] = []
-    opened = 0
-    other = 0  # the depth of the outermost part that isn't the article, or 0
-    words: list[str] = []
-    linked = 0
-    leaf = ""
-    chain: tuple[int, ...] = ()
-
-    def flush() -> None:
-        nonlocal linked
-        if words:
-            text = " ".join("".join(words).split())
-            words.clear()
+class Page:
+    """A page's blocks, its elements but inline ones, and the tree of their paths; number 0 is the page itself.
+
+    A block is (path, element, text, characters in links). Parents come before their children."""
+
+    def __init__(self, page: str, lists: bool = True):
+        self.blocks: list[tuple[int, int, str, int]] = []
+        self.tags, self.parents, self.semantic, self.element_paths = [""], [0], [0], [0]
+        self.path_parents, self.lowered = [0], [False]
+        self._paths: dict[tuple[int, str, bool], int] = {}
+        self._lists = lists
+        self._stack: list[tuple[str, int]] = []  # open elements: tag and number, for inline ones that of the element around them
+        self._open: Counter[str] = Counter()
+        self._words: list[str] = []
+        self._linked, self._at = 0, 0
+        self._read(page)
+
+    def _flush(self) -> None:
+        if self._words:
+            text = " ".join("".join(self._words).split())
+            self._words.clear()
             if text:
-                blocks.append((leaf, text, min(linked, len(text)), chain))
-        linked = 0
+                self.blocks.append((self.element_paths[self._at], self._at, text, min(self._linked, len(text))))
+        self._linked = 0
 
-    def add(raw: str, decode: bool = True) -> None:
-        nonlocal leaf, chain, linked
-        if other or not raw:
+    def _add(self, raw: str, decode: bool = True) -> None:
+        if not raw:
             return
         text = html.unescape(raw) if decode and "&" in raw else raw
-        if not words:
+        if not self._words:
             if not text.strip():
                 return
-            leaf = "/".join(t for t in stack if t not in INLINE)
-            chain = tuple(k for t, k in zip(stack, numbers, strict=True) if t not in INLINE)
-        words.append(text)
-        if "a" in stack:
-            linked += len(text)
+            self._at = self._stack[-1][1] if self._stack else 0
+        self._words.append(text)
+        if self._open["a"]:
+            self._linked += len(text)
 
-    def cut(depth: int) -> None:
+    def _cut(self, depth: int) -> None:
         """Close all elements from ``depth`` on."""
-        nonlocal other
-        if any(t not in INLINE for t in stack[depth:]):
-            flush()
-        del stack[depth:], numbers[depth:]
-        if other > depth:
-            other = 0
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            add(m[1], decode=False)
-        if m[3] is None:
-            continue
-        tag = m[3].lower()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] == tag:
-                    cut(i)
-                    break
-                if tag in INLINE and stack[i] not in INLINE:
-                    break  # an inline end tag doesn't close a block
+        if any(t not in INLINE for t, _ in self._stack[depth:]):
+            self._flush()
+        for t, _ in self._stack[depth:]:
+            self._open[t] -= 1
+        del self._stack[depth:]
+
+    def _enter(self, tag: str, attributes: str) -> None:
+        around = self._stack[-1][1] if self._stack else 0
+        self._open[tag] += 1
+        if tag in INLINE and not (self._lists and attributes and _is_other(tag, attributes, self._open)):
+            self._stack.append((tag, around))
+            return
+        self._flush()
+        own = len(self.tags)
+        other = self._lists and _is_other(tag, attributes, self._open)
+        key = (self.element_paths[around], tag, other)
+        path = self._paths.get(key)
+        if path is None:
+            path = self._paths[key] = len(self.path_parents)
+            self.path_parents.append(key[0])
+            self.lowered.append(other or self.lowered[key[0]])
+        self.tags.append(tag)
+        self.parents.append(around)
+        self.element_paths.append(path)
+        self.semantic.append(self.semantic[around] or (own if tag in _SEMANTIC_ROOTS else 0))
+        self._stack.append((tag, own))
+
+    def _end(self, tag: str) -> None:
+        if not self._open[tag]:
+            if tag not in INLINE:
+                self._flush()
+            return
+        for i in range(len(self._stack) - 1, -1, -1):
+            t = self._stack[i][0]
+            if t == tag:
+                return self._cut(i)
+            if tag in INLINE and t not in INLINE:
+                return None  # an inline end tag doesn't close a block
+        return None
+
+    def _close_for(self, tag: str) -> None:
+        """Close what a start tag closes."""
+        closes = set(CLOSED_BY.get(tag, "").split()) | ({"p"} if tag in BLOCK_ENDS_P else set())
+        if not any(self._open[t] for t in closes):
+            return
+        scope = set(SCOPES.get(tag, SCOPES["p"]).split())
+        lowest = None
+        for i in range(len(self._stack) - 1, -1, -1):
+            if self._stack[i][0] in closes:
+                lowest = i
+            elif self._stack[i][0] in scope:
+                break
+        if lowest is not None:
+            self._cut(lowest)
+
+    def _read(self, page: str) -> None:
+        at, n, endless = 0, len(page), set()
+        while at < n:
+            m = _TAG.search(page, at)
+            if m is None:
+                self._add(page[at:])
+                break
+            self._add(page[at : m.start()])
+            at = m.end()
+            if m[1] is not None:
+                self._add(m[1], decode=False)
+            if m[3] is None:
+                continue
+            tag = m[3].lower()
+            if m[2]:
+                self._end(tag)
+            elif tag in RAW:
+                if m[4].rstrip().endswith("/"):
+                    continue
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if tag not in endless else None
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = n  # unclosed: the rest is its text
+                else:
+                    endless.add(tag)
+            elif tag == "br":
+                self._add(" ")
+            elif tag in VOID:
+                if tag not in INLINE:
+                    self._flush()
             else:
                 if tag not in INLINE:
-                    flush()
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not m[4].rstrip().endswith("/") else None
-            if end:
-                at = end.end()
-            elif tag in ("script", "style"):
-                at = n  # unclosed: the rest is its text
-            continue
-        if tag == "br":
-            add(" ")
-            continue
-        if tag in VOID:
-            if tag not in INLINE:
-                flush()
-            continue
-        if tag not in INLINE:
-            closes = set(CLOSED_BY.get(tag, "").split()) | ({"p"} if tag in BLOCK_ENDS_P else set())
-            scope = set(SCOPES.get(tag, SCOPES["p"]).split())
-            lowest = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i] in closes:
-                    lowest = i
-                elif stack[i] in scope or not closes:
-                    break
-            if lowest is not None:
-                cut(lowest)
-            flush()
-        if tag in ("html", "body") and tag in stack:
-            continue
-        stack.append(tag)
-        opened += 1
-        numbers.append(opened)
-        if not other and _is_other(tag, m[4], stack):
-            flush()
-            other = len(stack)
-    flush()
-    return blocks
-
-
-def path_ratios(blocks: list[tuple[str, str, int, tuple[int, ...]]]) -> dict[str, float]:
-    """The smoothed, fused ratio of each path."""
-    sums: dict[str, list[float]] = {}
-    for path, text, links, _ in blocks:
-        own = sums.setdefault(path, [0, 0, 0, 0])
-        own[0] += 1
-        own[1] += len(text)
-        own[2] += len(_MARKS.findall(text))
-        own[3] += links
-    raw = {}
-    for path, (n, length, marks, links) in sums.items():
-        free = 1 - links / length
-        raw[path] = math.sqrt((length / n) * (1 + marks / n)) * free * free
-    steps = {path: path.split("/") for path in raw}
-    out = {}
-    for p in raw:
-        top = below = 0.0
-        for q, value in raw.items():
-            common = 0
-            for x, y in zip(steps[p], steps[q], strict=False):
-                if x != y:
-                    break
-                common += 1
-            far = max(len(steps[p]), len(steps[q])) - common
-            weight = math.exp(-far * far / (2 * SPREAD * SPREAD)) * sums[q][0] ** 0.5
-            top += weight * value
-            below += weight
-        out[p] = top / below * (1 - sums[p][3] / sums[p][1])
-    return out
-
-
-def content_roots(passed: list[tuple[str, str, int, tuple[int, ...]]]) -> set[int]:
-    """Numbers of the elements whose blocks are all content; 0 is the page itself."""
-    roots, inside, free = set(), 0, 0
-    for path, text, links, chain in passed:
-        free += len(text) - links
-        at = next((k for t, k in zip(path.split("/"), chain, strict=False) if t in _SEMANTIC_ROOTS), None)
-        if at is not None:
-            roots.add(at)
-            inside += len(text) - links
-    if roots and 2 * inside >= free:
-        return roots
-    first, last = min(passed, key=lambda b: b[3]), max(passed, key=lambda b: b[3])
-    common = [x for x, y in zip(first[3], last[3], strict=False) if x == y]  # an element has one number, so these are around all
-    if common and common == list(first[3]) == list(last[3]):
-        common.pop()  # a lone block isn't around its neighbours
-    tags = first[0].split("/")
-    while common and tags[len(common) - 1] not in _CONTAINERS:
-        common.pop()
-    return {common[-1] if common else 0}
-
-
-def extract_text(page: str | None, threshold: float = THRESHOLD) -> str:
-    """The main text of one page."""
-    blocks = text_blocks(page) if page else []
-    if not blocks:
+                    self._close_for(tag)
+                    self._flush()
+                if not (tag in ("html", "body") and self._open[tag]):
+                    self._enter(tag, m[4])
+        self._flush()
+
+
+def path_ratios(page: Page) -> list[float]:
+    """The fused, smoothed ratio of each path; zero for those without blocks."""
+    n = len(page.path_parents)
+    count, length, marks, links = [0] * n, [0] * n, [0] * n, [0] * n
+    for path, _, text, linked in page.blocks:
+        count[path] += 1
+        length[path] += len(text)
+        marks[path] += len(_MARKS.findall(text))
+        links[path] += linked
+    weight, value = [0.0] * n, [0.0] * n  # of each path, and then of all paths seen from it
+    for p in range(n):
+        if count[p]:
+            free = 1 - links[p] / length[p]
+            weight[p] = math.sqrt(count[p])
+            value[p] = weight[p] * math.sqrt(length[p] / count[p] * (1 + marks[p] / count[p])) * free * free / (LOWERED if page.lowered[p] else 1)
+    for sums in (weight, value):
+        for p in range(n - 1, 0, -1):
+            sums[page.path_parents[p]] += SPREAD * sums[p]
+        for p in range(1, n):
+            sums[p] += SPREAD * (sums[page.path_parents[p]] - SPREAD * sums[p])
+    return [value[p] / weight[p] * (1 - links[p] / length[p]) / (LOWERED if page.lowered[p] else 1) if count[p] else 0.0 for p in range(n)]
+
+
+def content_root(page: Page, selected: list[tuple[int, int, str, int]]) -> set[int]:
+    """Numbers of the elements whose blocks are content; 0 is the page itself."""
+    roots: Counter[int] = Counter()
+    for _, element, text, linked in selected:
+        roots[page.semantic[element]] += len(text) - linked
+    free = sum(roots.values())
+    if free - roots[0] >= INSIDE * free and roots.keys() - {0}:
+        return set(roots) - {0}
+    elements = {element for _, element, _, _ in selected}
+    low, high = min(elements), max(elements)
+    alone = low == high
+    while low != high:  # elements are numbered in page order, so this one is around all of them
+        if low > high:
+            low = page.parents[low]
+        else:
+            high = page.parents[high]
+    if alone:
+        low = page.parents[low]  # a lone block isn't around its neighbours
+    while low and page.tags[low] not in _CONTAINERS:
+        low = page.parents[low]
+    return {low}
+
+
+def extract_text(page: str | None, threshold: float = THRESHOLD, lists: bool = True) -> str:
+    """The main text of one page. Without ``lists`` no part is known by its name."""
+    read = Page(page or "", lists)
+    if not read.blocks:
         return ""
-    ratios = path_ratios(blocks)
-    least = threshold * max(ratios.values())
-    roots = content_roots([b for b in blocks if ratios[b[0]] >= least])
-    return "\n\n".join(text for path, text, _, chain in blocks if ratios[path] >= least or 0 in roots or not roots.isdisjoint(chain))
+    ratios = path_ratios(read)
+    least = threshold * max(ratios)
+    roots = content_root(read, [b for b in read.blocks if ratios[b[0]] >= least])
+    inside = [False] * len(read.tags)
+    for e in range(len(inside)):
+        inside[e] = e in roots or inside[read.parents[e]]
+    return "\n\n".join(text for path, element, text, _ in read.blocks if ratios[path] >= least or inside[element] and not read.lowered[path])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -304,3 +347,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
 def extraction_report(pages: DataFrame) -> DataFrame:
     """The digest of ``extract`` per page row."""
     return extract(pages).select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: The same for pages whose article is one ``article`` element of h1, p, b and br, as those of the tables are.
+REPORT_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS parts FROM pages),
+t AS (
+  SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS blocks FROM a),
+j AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM t)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM j
+"""

@@ -52,4 +52,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_decontamination": decontamination.REPORT_SQL, "op9_quality_rules": quality_rules.REPORT_SQL}
+    return {"op3_decontamination": decontamination.REPORT_SQL, "op8_html_extraction": html_extract.REPORT_SQL, "op9_quality_rules": quality_rules.REPORT_SQL}

@@ -527,15 +527,70 @@ def test_names_of_parts():
     assert "# one" in html_extract.extract_text(f"<article><p>{said}</p>{code}</article>")
 
 
-def test_extraction_of_the_tables(spark, sf_dir):
+def brute_ratios(page):
+    """Every path against every other one, by the steps between them."""
+    trail = lambda p: [p] + (trail(page.path_parents[p]) if p else [])
+    sums = {}
+    for path, _, text, linked in page.blocks:
+        own = sums.setdefault(path, [0, 0, 0, 0])
+        for i, x in enumerate((1, len(text), len(re.findall(r"[.,;:!?…。，；：！？、]", text)), linked)):
+            own[i] += x
+    lower = lambda p: 0.01 if page.lowered[p] else 1
+    raw = {p: ((size / n) * (1 + marks / n)) ** 0.5 * (1 - links / size) ** 2 * lower(p) for p, (n, size, marks, links) in sums.items()}
+    out = {}
+    for p in raw:
+        top = below = 0
+        for q in raw:
+            steps = len(set(trail(p)) ^ set(trail(q)))
+            weight = html_extract.SPREAD**steps * sums[q][0] ** 0.5
+            top, below = top + weight * raw[q], below + weight
+        out[p] = top / below * (1 - sums[p][3] / sums[p][1]) * lower(p)
+    return out
+
+
+def article_of(page):
     import html
 
+    article = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+    return [b for b in blocks if b]
+
+
+def test_ratios_by_hand(spark, sf_dir):
+    pages = [PAGE, "<div>a, b.<div>c<ul><li>d.<li><a>e</a></ul></div></div><p>f, g. h!</p>", "x", *[r.html for r in table(spark, sf_dir, "pages").limit(5).collect()]]
+    for page in pages:
+        for lists in (True, False):
+            read = html_extract.Page(page, lists)
+            got = html_extract.path_ratios(read)
+            want = brute_ratios(read)
+            assert np.allclose([got[p] for p in want], list(want.values())) and not any(r for p, r in enumerate(got) if p not in want)
+
+
+def test_the_ratios_select(spark, sf_dir):
+    pages = [r.html for r in table(spark, sf_dir, "pages").collect()]
+    right = found = wanted = 0
+    for page in pages:
+        want = article_of(page)
+        assert html_extract.extract_text(page).split("\n\n") == want and html_extract.extract_text(page, threshold=0).split("\n\n") != want
+        got = html_extract.extract_text(page, lists=False).split("\n\n")  # by the ratios alone
+        right, found, wanted = right + len(set(got) & set(want)), found + len(set(got)), wanted + len(set(want))
+    assert right == wanted and right > 0.8 * found
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    deep = lambda n: "".join(f"<div>text, {i}." for i in range(n)) + "<i><p>a" * 50 + "</b>" * n
+    began = time.perf_counter()
+    assert len(html_extract.extract_text(deep(20_000)).split("\n\n")) == 20_050
+    assert time.perf_counter() - began < 10
+
+
+def test_extraction_of_the_tables(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").toPandas()
     got = html_extract.extraction_report(table(spark, sf_dir, "pages")).toPandas().set_index("page_id").text
     for p in pages.itertuples():
-        article = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
-        assert got[p.page_id] == "\n\n".join(b for b in blocks if b)
+        assert got[p.page_id].split("\n\n") == article_of(p.html)
 
 
 # 10
