@@ -11,7 +11,10 @@ A sequence is padded to ``LENGTH`` unless its tokens already number a power of t
 
 Defined results: a null or empty text is the end token alone; equal rows are
 packed each for itself; an empty table gives no pieces; ties go by a hash of the
-id. All tokens of all texts lie in exactly one piece.
+id and of the piece's place in its input partition, so that neither repeated nor
+missing ids gather in one group (a repeated task must read its rows in the same
+order again, as scans, written tables and checkpoints do). All tokens of all texts
+lie in exactly one piece.
 """
 
 from __future__ import annotations
@@ -200,7 +203,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     """Per piece: id, start, length, doc_tokens, sequence_id, offset and ``ids`` (little-endian unsigned 32-bit)."""
     groups = max(1, -(-docs.count() // group))
     cut = pieces(docs, vocabulary, id_col, text_col, length, end)
-    cut = cut.withColumn("tie", F.xxhash64(F.lit("pack"), "id")).withColumn("group", F.pmod("tie", F.lit(groups)))
+    cut = cut.withColumn("tie", F.xxhash64(F.lit("pack"), "id", "start", F.monotonically_increasing_id())).withColumn("group", F.pmod("tie", F.lit(groups)))
     cut = cut.withColumn("whole", F.col("length") == length)
     dealt = cut.repartition("group").sortWithinPartitions("group", "whole", F.desc("length"), "tie", "id", "start")
     dealt = dealt.select("group", "whole", "id", "start", "length", "doc_tokens", "ids")
