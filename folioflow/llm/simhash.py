@@ -10,7 +10,9 @@ pivots would be quadratic, so the table is built per bucket: of ``BLOCKS`` bit
 blocks, two fingerprints within ``RADIUS`` share at least ``BLOCKS - RADIUS``
 whole, hence a bucket for each choice of that many blocks holds every link.
 
-Exact copies collapse to one fingerprint first. A bucket above ``TILE``
+Exact copies collapse to one fingerprint first. Keys that hold more than a
+``HOT_KEYS`` part of a join's rows (hub fingerprints, roots of large groups, much copied
+texts) are joined by broadcast, of ``HOT_KEYS`` rows at most, and the others by shuffle. A bucket above ``TILE``
 fingerprints is cut into tiles whose pairs together are all its pairs, so no
 task holds an unbounded bucket. A task reports a spanning forest of the links it
 finds, never all pairs; components then come from alternating star contraction.
@@ -37,7 +39,9 @@ SEED = 42
 RADIUS = 4
 BLOCKS = 6
 PIVOTS = 32
-TILE = 1024
+TILE = 8192
+#: A key is hot if it has more rows than this, and more than one in ``HOT_KEYS`` of all; so at most ``HOT_KEYS`` keys are.
+HOT_ROWS, HOT_KEYS = 100, 1024
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -164,22 +168,39 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pivot
     return rows.mapInArrow(run, "a long, b long").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _hot(counts: DataFrame, key: str, n: str = "n") -> list:
+    """The hot keys of a table of a count per key."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return [r[0] for r in counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(key).collect()]
+
+
+def _join_by_key(rows: DataFrame, one: DataFrame, key: str, hot: list) -> DataFrame:
+    """``rows`` joined with ``one`` row a key; ``hot`` keys by broadcast."""
+    if not hot:
+        return rows.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key).unionByName(rows.where(~is_hot).join(one.where(~is_hot), key))
+
+
+def _with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` with the least value of their key as column ``name``."""
+    hot = _hot(rows.groupBy(key).agg(F.count("*").alias("n")), key)
+    return _join_by_key(rows, rows.groupBy(key).agg(F.min(value).alias(name)), key, hot)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of an edge list (a, b) reaches, itself included.
 
-    Large-star and small-star steps alternate until the edges are stars; each round is
+    Large-star and small-star steps alternate until the edges are stars; each step is
     checkpointed. Raises if ``max_rounds`` rounds don't settle it, which needs a chain of
     about 2 ** max_rounds links."""
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut_lineage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        both = _with_least(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a", "b", "m")
+        large = cut_lineage(both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct())
+        small = _with_least(large, "a", "b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut_lineage(small.unionByName(large.groupBy("a").agg(F.min("b").alias("b"))).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -192,12 +213,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """(id, fp, component): each row's fingerprint and the smallest id of its group."""
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), radius, blocks, pivots, tile))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component"))
-    of_print = labelled.join(least, "root").select("fp", "component")
-    return prints.join(of_print, "fp").select("id", "fp", "component")
+    labelled = cut_lineage(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "root"))
+    grouped = _with_least(labelled.where("root is not null"), "root", "first", "component")
+    of_print = grouped.select("fp", "component").unionByName(labelled.where("root is null").select("fp", F.col("first").alias("component")))
+    return _join_by_key(prints, of_print, "fp", _hot(distinct, "fp")).select("id", "fp", "component")
 
 
 def fingerprint_hex(column):
@@ -215,9 +236,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A row is known by its id and a hash of its text, so repeated rows stay once, and an id with
     two texts stands for each of them apart. A group without any id keeps one row, too. Texts are
-    shuffled once: the join on the key and the removal of repeated rows share their partitioning."""
+    shuffled once: the join on the key and the removal of repeated rows share their partitioning.
+    Rows that are repeated so often that their key is hot are reduced before they are shuffled."""
     own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     row = F.struct(own.isNull().alias("unnamed"), own.alias("id"), F.xxhash64(text).alias("hash"))
-    keyed = docs.withColumn("__row", row)
-    keep = near_duplicates(keyed, "__row", text_col).where("id = component").select(F.col("id").alias("__keep")).distinct()
-    return keyed.join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).drop("__row")
+    keyed = docs.withColumn("__row", row).withColumn("__known", F.xxhash64("__row"))
+    found = near_duplicates(keyed, "__row", text_col).where("id = component")
+    keep = cut_lineage(found.groupBy(F.col("id").alias("__keep")).agg(F.count("*").alias("n")))
+    hot = _hot(keep.select(F.xxhash64("__keep").alias("known"), "n"), "known")
+    is_hot = F.col("__known").isin(hot) if hot else F.lit(False)
+    of_row = F.col("__row") == F.col("__keep")
+    kept = keyed.where(~is_hot).join(keep, of_row, "left_semi").dropDuplicates(["__row"])
+    if hot:
+        few = keep.where(F.xxhash64("__keep").isin(hot))
+        kept = kept.unionByName(keyed.where(is_hot).join(F.broadcast(few), of_row, "left_semi").dropDuplicates(["__row"]))
+    return kept.drop("__row", "__known")

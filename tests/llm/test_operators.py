@@ -175,7 +175,22 @@ def test_links_reach_what_all_pairs_reach(spark, tile):
     assert [found.get(x, x) for x in signed] == want
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hot_rows", [3, 100])
+def test_hot_keys_change_nothing(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot_rows)
+    base = [f"t{i}" for i in range(200)]
+    texts = [" ".join(base), *[" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(12)], *["copied text of some words here"] * 9, *[f"alone {i} and {i * 7} is {i * 31} here" for i in range(20)]]
+    docs = spark.createDataFrame([*enumerate(texts), *[(5000, "one row that is there again and again")] * 30], "doc_id long, text string").repartition(3)
+    want = brute_components(list(range(len(texts))), [brute_fingerprint(t) for t in texts])
+    got = simhash.group_report(docs).where("doc_id < 5000").collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want)) and len(got) == len(texts)
+    kept = sorted(r.doc_id for r in simhash.keep_first(docs).collect())
+    assert kept == sorted({*want, 5000})
+
+
+@pytest.mark.parametrize("hot_rows", [3, 100])
+def test_components_of_chains_and_stars(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot_rows)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (3000, 2999)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(201)} == {0} and {got[1000 + i] for i in range(50)} == {1000} and got[3000] == 2999 and len(got) == 201 + 50 + 2
@@ -227,6 +242,14 @@ def test_padding_is_little(spark, sf_dir):
     assert p.padding < 0.05 * p.tokens
 
 
+def test_equal_rows_spread_over_groups(spark, monkeypatch):
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit("the same words in all of them").alias("text")).repartition(4)
+    groups = 8
+    packed = packing.pack(docs, group=500)
+    rows = packed.withColumn("group", F.col("sequence_id") % groups).groupBy("group").count().toPandas()["count"]
+    assert len(rows) == groups and rows.sum() == 4000 and rows.max() < 1.3 * 500
+
+
 def test_first_fit():
     rng = np.random.default_rng(0)
     for sizes in ([], [2048], sorted(rng.integers(1, 2048, size=300).tolist(), reverse=True)):
