@@ -7,8 +7,12 @@ mean per-token loss under the target model less that under the background
 model; lower is more like the target.
 
 Counts are of every bigram of every document: summed per task, then by Spark per
-bigram. The loss pairs of all bigrams are broadcast while they number at most
-``BROADCAST_BIGRAMS``; beyond that documents' own counts are joined with them.
+bigram. The losses of the most frequent bigrams, ``BROADCAST_BIGRAMS`` at most, are
+broadcast, and a text is scored by them in one pass, which also gives its rarer
+bigrams. Those alone are shuffled, joined with their losses and added; none of them
+is a hot key, for the frequent ones never move. Where all bigrams are few enough
+there is nothing to join. ``novelty`` is the share of a text's tokens whose bigram
+occurs once in the whole corpus.
 
 Smoothing is absolute discounting, the discounted mass going to the piece's
 share of all pieces, mixed with an even share so that nothing is impossible.
@@ -31,8 +35,10 @@ from folioflow.llm.common import Remembered, cut_lineage, map_slices, slices, sp
 VOCABULARY = "piece_bpe_32k.model"
 DISCOUNT = 0.75
 EVEN = 0.01
-#: 16 bytes each.
-BROADCAST_BIGRAMS = 6_000_000
+#: 20 bytes each.
+BROADCAST_BIGRAMS = 2_000_000
+#: Steps in which the frequency that bigrams are broadcast from is chosen, to each doubling.
+STEPS = 16
 REMEMBERED = 450_000
 #: A word and the ASCII signs at its end.
 _CUT = r"(?s)^(?P<root>.*[^!-/:-@\[-`{-~])(?P<signs>[!-/:-@\[-`{-~]+)$"
@@ -144,7 +150,7 @@ def count(docs: DataFrame, pieces, text_col: str = "text", mark_col: str = "targ
 
 
 def losses(counts: DataFrame, size: int, discount: float = DISCOUNT, even: float = EVEN) -> DataFrame:
-    """(key, target_loss, background_loss) of each counted bigram, in nats.
+    """(key, background, target_loss, background_loss, once) of each counted bigram, in nats; ``once`` is 1 or 0.
 
     Sums by piece are bounded by the vocabulary and joined back by Spark."""
     before, piece = F.floor(F.col("key") / F.lit(size + 1)).cast("int"), (F.col("key") % F.lit(size + 1)).cast("int")
@@ -160,55 +166,65 @@ def losses(counts: DataFrame, size: int, discount: float = DISCOUNT, even: float
         sums = F.col(f"sum_{n}")
         p = F.when(sums > 0, F.greatest(F.col(n) - discount, F.lit(0.0)) / sums + discount * F.col(f"kinds_{n}") / sums * base).otherwise(base)
         made.append((-F.log(p)).cast("float").alias(f"{n}_loss"))
-    return joined.select("key", *made)
+    return joined.select("key", "background", *made, (F.col("background") == 1).cast("float").alias("once"))
+
+
+_SUMS = ("target_loss", "background_loss", "once")
+
+
+def _frequent(table: DataFrame, bound: int) -> DataFrame:
+    """Which rows of ``losses`` are broadcast, as a condition: ``bound`` at most, the most frequent ones, by steps of frequency."""
+    step = F.floor(F.log2("background") * STEPS).cast("int")
+    left, least = bound, None
+    for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # of 64 doublings at most
+        left -= r.n
+        if left < 0:
+            break
+        least = r.step
+    return F.lit(False) if least is None else step >= least
 
 
 def score(docs: DataFrame, mark_col: str = "target", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, broadcast_bigrams: int = BROADCAST_BIGRAMS) -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score) of every row; ``mark_col`` marks target rows."""
+    """(id, n_tokens, target_loss, background_loss, novelty, score) of every row; ``mark_col`` marks target rows."""
     spark = docs.sparkSession
     pieces = Pieces(vocabulary_bytes(vocabulary))
     size = pieces.size
     held = spark.sparkContext.broadcast(pieces)
     table = cut_lineage(losses(cut_lineage(count(docs, held, text_col, mark_col)), size))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = with_fields([source.schema["id"]], "n_tokens long, target_loss double, background_loss double")
-    if table.count() > broadcast_bigrams:
-        return _score_by_join(source, table, held).withColumn("score", F.col("target_loss") - F.col("background_loss"))
-    got = table.toArrow().sort_by("key")
-    pair = spark.sparkContext.broadcast((got.column("key").to_numpy(), np.stack([got.column(c).to_numpy() for c in ("target_loss", "background_loss")], axis=1)))
+    schema = with_fields([source.schema["id"]], "n_tokens long, target_loss double, background_loss double, once double, keys array<long>, times array<int>")
+    frequent = _frequent(table, broadcast_bigrams)
+    got = table.where(frequent).select("key", *_SUMS).toArrow().sort_by("key")
+    known = spark.sparkContext.broadcast((got.column("key").to_numpy(), np.stack([got.column(c).to_numpy() for c in _SUMS], axis=1)))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        keys, values = pair.value
+        keys, values = known.value
         own, bounds = held.value.bigrams(part.column("text"))
         sizes = np.diff(bounds)
-        sums = np.zeros((len(sizes), 2))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            kinds, place = np.unique(own, return_inverse=True)
-            terms = values[np.searchsorted(keys, kinds)].astype(np.float64)[place]
-            sums[some] = np.add.reduceat(terms, bounds[some], axis=0)
-        sums /= np.maximum(sizes, 1)[:, None]
-        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(sums[:, 0]), pa.array(sums[:, 1])], schema.names)
-
-    return map_slices(source, run, schema, rows=AT_ONCE_ROWS, size=AT_ONCE_BYTES).withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-def _score_by_join(source: DataFrame, table: DataFrame, held) -> DataFrame:
-    """The same figures where the bigrams are too many to broadcast."""
-    keyed = source.withColumn("row", F.xxhash64("id", "text"))
-
-    def run(batches):
-        for part in slices(batches):
-            own, bounds = held.value.bigrams(part.column("text"))
-            for i in range(part.num_rows):
-                keys, n = np.unique(own[bounds[i] : bounds[i + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part.column("row")[i].as_py(), dtype=np.int64)), pa.array(keys), pa.array(n.astype(np.int64))], ["row", "key", "n"])
-
-    rows = keyed.dropDuplicates(["row"]).select("row", "text")
-    own = rows.mapInArrow(run, "row long, key long, n long").join(table, "key")
-    sums = own.groupBy("row").agg(F.sum("n").alias("n_tokens"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("target_loss", "background_loss")])
-    zero = {"n_tokens": F.lit(0).cast("long"), "target_loss": F.lit(0.0), "background_loss": F.lit(0.0)}
-    return keyed.select("id", "row").join(sums, "row", "left").select("id", *[F.coalesce(c, z).alias(c) for c, z in zero.items()])
+        rows = part.num_rows
+        kinds, place = np.unique(own, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, kinds), max(0, len(keys) - 1))
+        found = keys[at] == kinds if len(keys) else np.zeros(len(kinds), dtype=bool)
+        terms = np.where(found[:, None], values[at].astype(np.float64), 0.0)[place] if len(keys) else np.zeros((len(own), 3))
+        row = np.repeat(np.arange(rows), sizes)
+        sums = [np.bincount(row, weights=terms[:, i], minlength=rows) for i in range(3)]
+        rare = np.flatnonzero(~found[place])
+        pairs, times = np.unique(row[rare] * max(1, len(kinds)) + place[rare], return_counts=True)
+        starts = np.searchsorted(pairs, np.arange(rows + 1) * max(1, len(kinds)))
+        lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), v) for v in (pa.array(kinds[pairs % max(1, len(kinds))] if len(kinds) else kinds), pa.array(times.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), *map(pa.array, sums), *lists], schema.names)
+
+    scored = map_slices(source, run, schema, rows=AT_ONCE_ROWS, size=AT_ONCE_BYTES)
+    rest = table.where(~frequent)
+    if rest.isEmpty():
+        sums = scored
+    else:
+        scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()))
+        pairs = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("e")).select("row", F.col("e.keys").alias("key"), F.col("e.times").alias("n"))
+        more = pairs.join(rest.select("key", *_SUMS), "key").groupBy("row").agg(*[F.sum(F.col(c).cast("double") * F.col("n")).alias("more_" + c) for c in _SUMS])
+        sums = scored.join(more, "row", "left").withColumns({c: F.col(c) + F.coalesce("more_" + c, F.lit(0.0)) for c in _SUMS})
+    mean = [(F.col(c) / F.greatest("n_tokens", F.lit(1))).alias(name) for c, name in zip(_SUMS, ("target_loss", "background_loss", "novelty"), strict=True)]
+    return sums.select("id", "n_tokens", *mean).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def mark_targets(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", broadcast_labels: int = BROADCAST_LABELS) -> DataFrame:

@@ -648,19 +648,24 @@ def brute_losses(pieces, texts, marks):
             return -np.log(p)
 
         out.append([float(np.mean([loss(k) for k in g])) if g else 0.0 for g in grams])
-    return [len(g) for g in grams], out[0], out[1]
+    every = [k for g in grams for k in g]
+    times = {}
+    for k in every:
+        times[k] = times.get(k, 0) + 1
+    once = {k for k, x in times.items() if x == 1}
+    return [len(g) for g in grams], out[0], out[1], [sum(k in once for k in g) / max(1, len(g)) for g in grams]
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 0])
+@pytest.mark.parametrize("bound", [1 << 20, 300, 0])
 @pytest.mark.parametrize("share", [2, 10**9])
 def test_cross_entropy(spark, bound, share):
     marks = [i % share == 1 for i in range(len(TEXTS))]
     docs = odd_rows(spark).withColumn("target", F.when(F.col("doc_id") % share == 1, True))
     got = lm_scoring.score(docs, broadcast_bigrams=bound).collect()
     assert len(got) == len(TEXTS) + 1
-    n, target, background = brute_losses(lm_scoring.Pieces(lm_scoring.vocabulary_bytes()), [*TEXTS, TEXTS[-1]], [*marks, marks[-1]])
+    n, target, background, novelty = brute_losses(lm_scoring.Pieces(lm_scoring.vocabulary_bytes()), [*TEXTS, TEXTS[-1]], [*marks, marks[-1]])
     for r in got:
-        assert r.n_tokens == n[r.id] and np.isclose(r.target_loss, target[r.id], rtol=1e-4) and np.isclose(r.background_loss, background[r.id], rtol=1e-4) and np.isclose(r.score, target[r.id] - background[r.id], atol=1e-3)
+        assert r.n_tokens == n[r.id] and np.isclose(r.target_loss, target[r.id], rtol=1e-4) and np.isclose(r.background_loss, background[r.id], rtol=1e-4) and np.isclose(r.score, target[r.id] - background[r.id], atol=1e-3) and np.isclose(r.novelty, novelty[r.id])
 
 
 def test_language_models_prefer_their_own(spark, sf_dir):
