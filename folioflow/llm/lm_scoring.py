@@ -212,7 +212,7 @@ def score(docs: DataFrame, mark_col: str = "target", id_col: str = "doc_id", tex
         pairs, times = np.unique(row[rare] * max(1, len(kinds)) + place[rare], return_counts=True)
         starts = np.searchsorted(pairs, np.arange(rows + 1) * max(1, len(kinds)))
         lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), v) for v in (pa.array(kinds[pairs % max(1, len(kinds))] if len(kinds) else kinds), pa.array(times.astype(np.int32)))]
-        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), *map(pa.array, sums), *lists], schema.names)
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), *[pa.array(x, pa.float64()) for x in sums], *lists], schema.names)
 
     scored = map_slices(source, run, schema, rows=AT_ONCE_ROWS, size=AT_ONCE_BYTES)
     rest = table.where(~frequent)

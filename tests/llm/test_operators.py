@@ -295,6 +295,70 @@ def test_shards_of_odd_rows(spark):
     assert sorted((r.shard, r.slot) for r in numbered.collect()) == [(s, i) for s, n in sorted((r.shard, r["count"]) for r in numbered.groupBy("shard").count().collect()) for i in range(n)]
 
 
+def plain_tree(rows, dims, shards, heavy):
+    """Shard of each row: every row sorted at every node, the cut nearest to the wanted bytes."""
+    out = {}
+    width = lambda own, d: max((r[d] >> 40 for r in own), default=0) - min((r[d] >> 40 for r in own), default=0)
+    whole = {d: max(1, width(rows, d)) for d in dims}
+
+    def nearest(own, d, goal):
+        best, below = (abs(goal), None), 0
+        own = sorted(own, key=lambda r: r[d])
+        for i, r in enumerate(own):
+            below += r["size"]
+            if abs(below - goal) < best[0]:
+                best = (abs(below - goal), i)
+        return own[best[1]][d] + 1 if best[1] is not None else (own[0][d] if own else 0)
+
+    def grow(own, leaves, first):
+        if leaves == 1:
+            out.update((r["id"], first) for r in own)
+            return
+        d = max(dims, key=lambda c: width(own, c) / whole[c])
+        goal = sum(r["size"] for r in own) * (leaves // 2) / leaves
+        cut = light_cut = nearest(own, d, goal)
+        light = [r for r in own if not heavy(r)]
+        if len(light) < len(own) and light:
+            light_cut = nearest(light, d, max(0, goal - sum(r["size"] for r in own if heavy(r) and r[d] < cut)))
+        left = [r for r in own if r[d] < (cut if heavy(r) else light_cut)]
+        grow(left, leaves // 2, first)
+        grow([r for r in own if not r[d] < (cut if heavy(r) else light_cut)], leaves - leaves // 2, first + leaves // 2)
+
+    grow(rows, shards, 0)
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 7, 40])
+def test_shards_are_those_of_a_plain_tree(spark, sf_dir, shards):
+    meta = sharding.cut_lineage(sharding.metadata(table(spark, sf_dir, "documents")))
+    total = meta.agg(F.sum("size")).first()[0]
+    heavy = lambda r: r["size"] * shards * sharding.HEAVY > total
+    rows = [r.asDict() for r in meta.collect()]
+    _, got = sharding.grow(meta.withColumn("heavy", F.col("size") * (shards * sharding.HEAVY) > total), shards)
+    want = plain_tree(rows, ["d_0", "d_1", "d_size"], shards, heavy)
+    assert {r.id: r.shard for r in got.collect()} == want
+
+
+def test_dimensions_are_metadata(spark):
+    docs = spark.createDataFrame([(i, "x" * (1 << i % 5), s, None) for i, s in enumerate(["src1", "src10", "src2", "src", None, "srz", "src1é", "src1"] * 3)], "doc_id long, text string, source string, lang string")
+    rows = sharding.metadata(docs).join(docs.select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("s")), "id").collect()
+    by = {r.s: r.d_0 >> 40 for r in rows}
+    assert [by[s] for s in sorted(by)] == sorted(by.values()) and len(set(by.values())) == len(by) and max(by.values()) == (1 << 22) - 1
+    assert {r.d_1 >> 40 for r in rows} == {0} and len({r.row for r in rows}) == len(rows)
+    assert sorted(rows, key=lambda r: r["size"])[0].d_size >> 40 == min(r.d_size >> 40 for r in rows)
+
+
+def test_equal_rows_are_cut_apart(spark, tmp_path):
+    docs = spark.createDataFrame([(7, "the same text of all of them " * 20, "hot", "en", "a", i) for i in range(3000)] + [(i, "another text " * (i % 90), "s", "de", "b", i) for i in range(1000, 2000)], "doc_id long, text string, source string, lang string, slot string, text_crc32 int")
+    sizes = sharding.shard(docs, shards=4).groupBy("shard").agg(F.sum("size").alias("n")).toPandas().n
+    assert len(sizes) == 4 and sizes.max() - sizes.min() < 0.01 * sizes.max()
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == 4000 and written.select(docs.columns).exceptAll(docs).count() == 0
+    bytes_of = written.groupBy("__shard").agg(F.sum(F.octet_length("text") + 16).alias("n")).toPandas().n
+    assert bytes_of.max() - bytes_of.min() < 0.01 * bytes_of.max()
+
+
 def test_written_shards(spark, sf_dir, tmp_path):
     docs = table(spark, sf_dir, "documents")
     sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
