@@ -48,16 +48,26 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _WORD_GAP), lambda w: w != "")
 
 
-def _repeat_expr() -> Column:
-    """Words inside windows that occur twice or more. Hashes settle texts without a repeat;
-    where a hash repeats, the windows' own words decide."""
-    n = F.col("n_words")
-    keys = F.when(F.size(F.array_distinct("win_hash")) == F.size("win_hash"), F.expr("cast(array() as array<struct<w:string,i:int>>)")).otherwise(
-        F.array_sort(F.expr(f"transform(sequence(1, cast(n_words as int) - {WINDOW - 1}), i -> struct(array_join(slice(words, i, {WINDOW}), ' ') as w, i as i))"))
-    )
-    return F.when(n < WINDOW, F.expr("cast(array() as array<struct<w:string,i:int>>)")).otherwise(keys)
+def _is_stop(word: Column) -> Column:
+    """Whether a lower-cased word is a stop word, or is one but for what isn't a letter at its ends."""
+    stops = list(dict.fromkeys(STOP_WORDS.split()))
+    return word.isin(stops) | (word.rlike(r"^[^\p{L}]|[^\p{L}]$") & F.regexp_replace(word, r"^[^\p{L}]+|[^\p{L}]+$", "").isin(stops))
 
 
+#: Hashes of windows by the hashes of their words; where none occurs twice no window does. (An array that
+#: a lambda reads is referred to twice, here and below: else the optimizer would make it anew for each element.)
+_HASHES = f"""
+case when size(word_hashes) >= {WINDOW} then transform(sequence(1, size(word_hashes) - {WINDOW - 1}), i -> xxhash64(slice(word_hashes, i, {WINDOW}))) end
+"""
+_HASHES_SORTED = """
+case when size(array_distinct(win_hash)) < size(win_hash) then sort_array(transform(win_hash, (h, i) -> struct(h as h, i + 1 as i))) else cast(array() as array<struct<h:bigint,i:int>>) end
+"""
+#: The windows whose hash occurs twice, by their own words, which decide.
+_SORTED = f"""
+sort_array(transform(filter(transform(hash_sorted, (x, k) -> case when
+    (k > 0 and hash_sorted[k - 1].h = x.h) or (k < size(hash_sorted) - 1 and hash_sorted[k + 1].h = x.h)
+  then x.i end), i -> i is not null), i -> struct(array_join(slice(words, i, {WINDOW}), ' ') as w, i as i)))
+"""
 #: Fold over windows in order of their words: within equal windows places rise, so the places to
 #: cover are gathered first and then measured in order.
 _REPEATED = """
@@ -66,7 +76,7 @@ filter(transform(win_sorted, (x, k) -> case when
   then x.i end), i -> i is not null)
 """
 _COVERED = f"""
-aggregate(array_sort(repeated), struct(cast(0 as bigint) as n, cast(0 as bigint) as upto),
+aggregate(sort_array(repeated), struct(cast(0 as bigint) as n, cast(0 as bigint) as upto),
   (s, i) -> struct(s.n + (i + {WINDOW - 1}) - greatest(s.upto, cast(i - 1 as bigint)) as n, cast(i + {WINDOW - 1} as bigint) as upto),
   s -> s.n)
 """
@@ -78,6 +88,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     base = base.select(
         "id",
+        "text",
         _words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, _WORD_GAP, "") != "").alias("lines"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -87,11 +98,11 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = base.select(
         "*",
         F.size("words").cast("long").alias("n_words"),
-        F.when(F.size("words") >= WINDOW, F.expr(f"transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW})))")).alias("win_hash"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes"),
     )
-    base = base.withColumn("win_sorted", _repeat_expr()).withColumn("repeated", F.expr(_REPEATED)).withColumn("n_repeat_words", F.expr(_COVERED))
-    stops = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS.split())])
-    n_stop = F.size(F.filter("words", lambda w: F.array_contains(stops, F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", ""))))
+    for name, made in (("win_hash", _HASHES), ("hash_sorted", _HASHES_SORTED), ("win_sorted", _SORTED), ("repeated", _REPEATED), ("n_repeat_words", _COVERED)):
+        base = base.withColumn(name, F.expr(made))
+    n_stop = F.size(F.filter(_words(F.lower("text")), _is_stop))
     n_lines = F.size("lines")
     share = lambda part, whole: F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
     return base.select(
@@ -140,7 +151,8 @@ def rules_report(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that break a rule; all columns stay as they are."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), F.col(text_col).alias("text"))
-    return verdict(figures(packed, "id", "text")).where(F.size("failed") == 0).select("id.*")
+    judged = verdict(figures(packed, "id", "text")).withColumn("place", F.monotonically_increasing_id())  # no filter is pushed below this
+    return judged.where(F.size("failed") == 0).select("id.*")
 
 
 _STOPS_SQL = ", ".join("'" + w + "'" for w in dict.fromkeys(STOP_WORDS.split()))
