@@ -16,13 +16,17 @@ def table(spark, sf_dir, name):
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _STRIP = rf"regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
-_PAGE = r"^\s*[\|\-]?\s*[Pp]age\s+\d+\s*$|^\s*[\|\-]?\s*\d+\s*(of\s+\d+)?\s*[\|\-]?\s*$"
+_DIGITS = lambda x: f"({x} <> '' AND translate({x}, '0123456789', '') = '')"
+#: Page numbers are told by taking bars and dashes off and looking at what is left, word by word.
 _PARAGRAPHS = rf"""
-p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, x AS paragraph
-      FROM (SELECT doc_id, source, i, {_STRIP} AS x
-            FROM (SELECT doc_id, source, generate_subscripts(ls, 1) AS i, unnest(ls) AS x
-                  FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))
-      WHERE x <> '' AND NOT regexp_matches(x, '{_PAGE}'))"""
+lines AS (SELECT doc_id, source, i, {_STRIP} AS x
+          FROM (SELECT doc_id, source, generate_subscripts(ls, 1) AS i, unnest(ls) AS x
+                FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+opened AS (SELECT *, CASE WHEN x[1] IN ('|', '-') THEN trim(x[2:]) ELSE x END AS o FROM lines),
+closed AS (SELECT *, string_split(CASE WHEN o[-1] IN ('|', '-') THEN trim(o[:-2]) ELSE o END, 'of') AS parts FROM opened),
+p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, x AS paragraph FROM closed
+      WHERE x <> '' AND NOT (o[1:5] IN ('Page ', 'page ') AND {_DIGITS("trim(o[5:])")})
+        AND NOT ({_DIGITS("trim(parts[1])")} AND (len(parts) = 1 OR len(parts) = 2 AND parts[2][1] = ' ' AND {_DIGITS("trim(parts[2])")})))"""
 _PACKED = f"""
 WITH RECURSIVE {_PARAGRAPHS},
 w AS (SELECT doc_id, (sum(length(paragraph)) + 2 * (count(*) - 1)) // 4 <= 800 AS whole FROM p GROUP BY doc_id),
@@ -78,18 +82,9 @@ def ocr_paragraphs(spark, d):
 
 
 @query("encoding_corruption", r"""
-WITH s AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), 'th', chr(65533)), '[\s\x0B\x1C-\x1F]', '', 'g') AS t FROM documents WHERE source IN ('src0', 'src1'))
-SELECT doc_id, CASE WHEN length(t) = 0 THEN 0.0 ELSE length(regexp_replace(t, '[^\x{FFFD}\x00-\x1F\x{E000}-\x{F8FF}]', '', 'g')) / length(t) END AS ratio FROM s""")
-def encoding_corruption(spark, d):
-    damaged = table(spark, d, "documents").where(F.col("source").isin("src0", "src1")).withColumn("text", F.replace(F.col("text"), F.lit("th"), F.lit("�")))
-    return damaged.select("doc_id", paragraphs.corruption(F.col("text")).alias("ratio"))
-
-
-@query("encoding_corruption_all", r"""
 WITH s AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), 'th', chr(65533)), '[\s\x0B\x1C-\x1F]', '', 'g') AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) = 0 THEN 0.0 ELSE length(regexp_replace(t, '[^\x{FFFD}\x00-\x1F\x{E000}-\x{F8FF}]', '', 'g')) / length(t) END AS ratio FROM s""")
-def encoding_corruption_all(spark, d):
-    """``encoding_corruption`` over the documents of every source."""
+def encoding_corruption(spark, d):
     damaged = table(spark, d, "documents").withColumn("text", F.replace(F.col("text"), F.lit("th"), F.lit("�")))
     return damaged.select("doc_id", paragraphs.corruption(F.col("text")).alias("ratio"))
 
