@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,24 +64,29 @@ def _islands(blocks: Column) -> Column:
     return F.aggregate(blocks, start, step)
 
 
-def chunk_sections(sections: DataFrame, bound: int = CHUNK_TOKENS) -> DataFrame:
-    """Chunks of rows (doc_id, section, level, heading, heading_path, parts), parts an ordered array of
-    (quote, table, text): adds ``chunks``, an array of (type, content, token_count)."""
-    prefix = F.when(F.col("heading") != "", F.concat(F.repeat(F.lit("#"), F.greatest(F.coalesce("level", F.lit(1)), F.lit(1))), F.lit(" "), F.col("heading"), F.lit("\n\n"))).otherwise("")
-    shown = F.filter(_blocks(F.col("parts")), lambda b: b["table"] | (strip(b["text"]) != ""))
-    rows = sections.withColumn("prefix", prefix).withColumn("islands", _islands(shown))
-    front = lambda i: F.when(i == 0, F.col("prefix")).otherwise("")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, whatever lambda this stands in."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def section_chunks(level: Column, heading: Column, parts: Column, bound: int = CHUNK_TOKENS) -> Column:
+    """The chunks of a section, an array of (type, content, token_count); ``parts`` is an ordered array of (quote, table, text)."""
     one = lambda kind, text, n: F.struct(F.lit(kind).alias("type"), text.alias("content"), n.alias("token_count"))
-    made = F.flatten(
-        F.transform(
-            "islands",
-            lambda x, i: F.when(x["table"], F.array(one("table", x["texts"][0], token_estimate(x["texts"][0])))).otherwise(
-                F.transform(pack_texts(x["texts"], front(i), bound), lambda t: one("section", t, token_estimate(t)))
-            ),
-        )
-    )
-    alone = F.when(F.col("prefix") != "", F.array(one("section", strip(F.col("prefix")), token_estimate(F.col("prefix"))))).otherwise(F.array().cast("array<struct<type:string,content:string,token_count:int>>"))
-    return rows.withColumn("chunks", F.when(F.size("islands") > 0, made).otherwise(alone)).drop("prefix", "islands")
+    none = F.array().cast("array<struct<type:string,content:string,token_count:int>>")
+    shown = F.filter(_blocks(parts), lambda b: b["table"] | (strip(b["text"]) != ""))
+    prefix = F.when(heading != "", F.concat(F.repeat(F.lit("#"), F.greatest(F.coalesce(level, F.lit(1)), F.lit(1))), F.lit(" "), heading, F.lit("\n\n"))).otherwise("")
+
+    def made(front: Column, islands: Column) -> Column:
+        texts = lambda x, i: _let(pack_texts(x["texts"], F.when(i == 0, front).otherwise(""), bound), lambda cut: F.transform(cut, lambda t: one("section", t, token_estimate(t))))
+        every = F.flatten(F.transform(islands, lambda x, i: F.when(x["table"], F.array(one("table", x["texts"][0], token_estimate(x["texts"][0])))).otherwise(texts(x, i))))
+        return F.when(F.size(islands) > 0, every).when(front != "", F.array(one("section", strip(front), token_estimate(front)))).otherwise(none)
+
+    return _let(prefix, lambda front: _let(_islands(shown), lambda islands: made(front, islands)))
+
+
+def chunk_sections(sections: DataFrame, bound: int = CHUNK_TOKENS) -> DataFrame:
+    """Chunks of rows (doc_id, section, level, heading, heading_path, parts): adds ``chunks``, as ``section_chunks`` gives them."""
+    return sections.withColumn("chunks", section_chunks(F.col("level"), F.col("heading"), F.col("parts"), bound))
 
 
 def number_chunks(rows: DataFrame, source: str = "doc_id", fmt: str | None = None) -> DataFrame:
@@ -125,6 +132,40 @@ def chunks(nodes: DataFrame, docs: DataFrame | None = None, bound: int = CHUNK_T
     return number_chunks(rows.join(docs.select("doc_id", "source", F.col("metadata.source_format").alias("fmt")), "doc_id"), "source", "fmt")
 
 
+def chunk_array(nodes: Column, source: Column, fmt: Column, bound: int = CHUNK_TOKENS) -> Column:
+    """The numbered chunks of a document's array of nodes, within its row."""
+    path = lambda n: F.regexp_replace(F.array_join(F.filter(n["path"], lambda p: p != ""), " > "), "^[ >]+", "")
+    part = lambda n: F.struct(n["quote"].alias("quote"), (n["type"] == "table").alias("table"), node_markdown(n.getField).alias("text"))
+
+    def of_section(own: Column) -> Column:
+        heads = F.filter(own, lambda n: n["type"] == "heading")
+        heading = F.coalesce(F.array_max(F.transform(heads, lambda n: runs_with(n["runs"], run_markdown))), F.lit(""))
+        parts = F.transform(F.filter(own, lambda n: n["type"] != "heading"), part)
+        found = _let(heading, lambda h: section_chunks(F.array_max(F.transform(heads, lambda n: n["level"])), h, parts, bound))
+        return _let(F.array_max(F.transform(own, path)), lambda p: F.transform(found, lambda c: F.struct(p.alias("heading_path"), c.alias("c"))))
+
+    opens = F.filter(F.transform(nodes, lambda n, i: F.when((i == 0) | (n["section"] != F.get(nodes, i - 1)["section"]), i)), lambda i: i.isNotNull())
+    every = _let(opens, lambda starts: F.flatten(F.transform(starts, lambda s, k: of_section(F.slice(nodes, s + 1, F.coalesce(F.get(starts, k + 1), F.size(nodes)) - s)))))
+    name = F.coalesce(source.cast("string"), F.lit(""))
+    return F.transform(
+        every,
+        lambda x, n: F.struct(
+            F.format_string("%s_%04d", F.substring(F.md5(name), 1, 8), n).alias("chunk_id"),
+            x["c"]["type"].alias("type"),
+            x["heading_path"].alias("heading_path"),
+            x["c"]["content"].alias("content"),
+            name.alias("source_document"),
+            fmt.alias("source_format"),
+            x["c"]["token_count"].alias("token_count"),
+        ),
+    )
+
+
+def chunks_of(parsed: DataFrame, bound: int = CHUNK_TOKENS) -> DataFrame:
+    """As ``chunks``, of parsed rows with their array of nodes; nothing moves."""
+    return parsed.select("doc_id", F.explode(chunk_array(F.col("nodes"), F.col("source"), F.col("metadata.source_format"), bound)).alias("c")).select("doc_id", "c.*")
+
+
 def chunk_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bound: int = CHUNK_TOKENS) -> DataFrame:
     """Chunks of plain texts, a paragraph a line; nothing is shuffled, since a text is a row."""
     from folioflow.operators.paragraphs import paragraphs_array

@@ -17,6 +17,7 @@ TABLES = r"(?md)^\|[-| :]+\|$"
 #: Weights of headings, tables, lists, token reduction and validity, with and without a token ratio.
 WEIGHTS = (0.25, 0.25, 0.15, 0.20, 0.15)
 WEIGHTS_WITHOUT = (0.3125, 0.3125, 0.1875, 0.0, 0.1875)
+#: The texts of errors and warnings, which users match.
 ERRORS = {"ocr_required": "OCR is required but not enabled", "empty_ir": "No content extracted from document", "parse_error": "Document parsing failed"}
 
 
@@ -62,9 +63,36 @@ def score_columns(md: Column, headings: Column, tables: Column, lists: Column, s
     return {"heading_preservation": h, "table_preservation": t, "list_preservation": x, "token_ratio": tokens, "overall_raw": overall(h, t, x, tokens)}
 
 
+def counts_of(nodes: Column, runs_type) -> dict[str, Column]:
+    """As ``node_counts``, of a document's array of nodes."""
+    free = lambda n: n["quote"].isNull()
+    said = lambda n: strip(runs_text(F.coalesce(n["runs"], F.array().cast(runs_type)))) != ""
+    top = lambda n: F.size(F.coalesce(n["path"], F.array().cast("array<string>"))) <= 1
+    count = lambda keep: F.size(F.filter(nodes, keep))
+    first = lambda n: F.size(F.filter(n["items"], lambda i: i["depth"] == 0))
+    lists = F.filter(nodes, lambda n: (n["type"] == "list") & free(n))
+    return {
+        "headings": count(lambda n: (n["type"] == "heading") & (F.size(n["runs"]) > 0)),
+        "tables": count(lambda n: (n["type"] == "table") & free(n)),
+        "list_items": F.aggregate(lists, F.lit(0), lambda total, n: total + first(n)),
+        "has_content": F.exists(nodes, lambda n: top(n) & free(n) & (((n["type"] == "paragraph") & said(n)) | (n["type"] == "table"))),
+        "has_any_text": F.exists(nodes, lambda n: said(n) | n["type"].isin("table", "list", "code")),
+    }
+
+
 def quality(nodes: DataFrame, docs: DataFrame, md: DataFrame) -> DataFrame:
     """The scored quality of each document, null with an error where there is nothing to score."""
     rows = docs.select("doc_id", "outcome", F.col("metadata.word_count").alias("words")).join(md, "doc_id", "left").join(node_counts(nodes), "doc_id", "left")
+    return _scored(rows)
+
+
+def quality_of(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As ``quality``, of parsed rows with their ``nodes`` and ``markdown``: one projection, nothing moves."""
+    runs_type = parsed.schema["nodes"].dataType.elementType["runs"].dataType
+    return _scored(parsed.select("doc_id", "outcome", F.col("metadata.word_count").alias("words"), "markdown", *[c.alias(n) for n, c in counts_of(F.col("nodes"), runs_type).items()], *[c for c in keep if c != "markdown"]), keep)
+
+
+def _scored(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = rows.fillna(0, ["headings", "tables", "list_items"]).fillna("", ["markdown"]).fillna(False, ["has_content", "has_any_text"])
     s = score_columns(F.col("markdown"), F.col("headings"), F.col("tables"), F.col("list_items"), F.col("words"))
     rows = rows.withColumns(s).withColumns(markdown_counts(F.col("markdown")))
@@ -94,4 +122,5 @@ def quality(nodes: DataFrame, docs: DataFrame, md: DataFrame) -> DataFrame:
         error.alias("error"),
         (good & (F.bround("overall_raw", 3) >= PASS_MARK)).alias("passed"),
         "has_any_text",
+        *keep,
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.operators import chunking, paragraphs, quality
 from folioflow.plans import render
-from folioflow.sources.registry import documents_of, nodes_of, parse_sources
+from folioflow.sources.registry import nodes_of, parse_sources
 
 
 def table(spark, sf_dir, name):
@@ -220,7 +220,7 @@ def page_node_counts(spark, d):
 
 @query("page_markdown", f"WITH {_PARTS} SELECT doc_id, {_MD_NAV} || chr(10) || chr(10) || {_MD_STORY} AS markdown FROM page")
 def page_markdown(spark, d):
-    return render.markdown(nodes_of(_pages(spark, d)))
+    return _pages(spark, d).select("doc_id", render.markdown_of(F.col("nodes")).alias("markdown"))
 
 
 @query("page_sections", f"WITH {_PARTS} SELECT doc_id, 0 AS section, {_MD_NAV} AS markdown FROM page UNION ALL SELECT doc_id, 1, {_MD_STORY} FROM page")
@@ -232,7 +232,7 @@ def page_sections(spark, d):
 SELECT doc_id, '<ul>' || chr(10) || array_to_string(list_transform(list_zip(label, href), lambda x: '<li><a href="' || {_ESC.format('x[2]')} || '">' || {_ESC.format('x[1]')} || '</a></li>'), chr(10)) || chr(10) || '</ul>' || chr(10) ||
        '<h1>' || {_ESC.format('h1')} || '</h1>' || chr(10) || array_to_string(list_transform(paras, lambda x: '<p>' || CASE WHEN x.bold THEN '<strong>' ELSE '' END || {_ESC.format('x.text')} || CASE WHEN x.bold THEN '</strong>' ELSE '' END || '</p>'), chr(10)) AS html FROM page""")
 def page_html(spark, d):
-    return render.html_document(nodes_of(_pages(spark, d)))
+    return _pages(spark, d).select("doc_id", render.html_of(F.col("nodes")).alias("html"))
 
 
 @query("page_json", f"""WITH {_PARTS}
@@ -240,8 +240,7 @@ SELECT doc_id, '{{"nodes":[{{"type":"list","ordered":false,"items":[' || array_t
        '{{"type":"heading","level":1,"content":' || CAST(to_json(h1) AS VARCHAR) || '}},' || array_to_string(list_transform(paras, lambda x: '{{"type":"paragraph","content":' || CAST(to_json(CASE WHEN x.bold THEN '**' || x.text || '**' ELSE x.text END) AS VARCHAR) || '}}'), ',') ||
        '],"title":' || CAST(to_json(trim({_DECODED.format("regexp_extract(html, '<title>([^<]*)', 1)")})) AS VARCHAR) || ',"format":"html"}}' AS json FROM page""")
 def page_json(spark, d):
-    p = _pages(spark, d)
-    return render.json_document(nodes_of(p), documents_of(p))
+    return _pages(spark, d).select("doc_id", render.json_of(F.col("nodes"), F.col("metadata")).alias("json"))
 
 
 @query("chunks_pages", f"""WITH RECURSIVE {_PARTS},
@@ -259,8 +258,7 @@ c AS (SELECT doc_id, bin + 1 AS no, CASE WHEN bin = 0 THEN any_value(prefix) ELS
 SELECT c.doc_id, substr(md5(url), 1, 8) || '_' || lpad(CAST(no AS VARCHAR), 4, '0') AS chunk_id, 'section' AS type, CASE WHEN no = 0 THEN '' ELSE head END AS heading_path, content, url AS source_document, 'html' AS source_format, CAST(length(content) // 4 AS INTEGER) AS token_count
 FROM c JOIN t USING (doc_id) JOIN pages ON CAST(page_id AS VARCHAR) = c.doc_id""")
 def page_chunks(spark, d):
-    p = _pages(spark, d)
-    return chunking.chunks(nodes_of(p), documents_of(p))
+    return chunking.chunks_of(_pages(spark, d))
 
 
 @query("page_quality", rf"""WITH {_PARTS},
@@ -271,15 +269,14 @@ o AS (SELECT *, hs * 0.25::DOUBLE + ts * 0.25::DOUBLE + ls * 0.15::DOUBLE + tr *
 SELECT doc_id, round_even(x, 3) AS overall, round_even(hs, 3) AS heading_preservation, ts AS table_preservation, round_even(ls, 3) AS list_preservation, round_even(tr, 3) AS token_reduction_ratio,
        true AS valid_markdown, '' AS warnings, CAST(NULL AS VARCHAR) AS error, round_even(x, 3) >= 0.7 AS passed, true AS has_any_text FROM o""")
 def page_quality(spark, d):
-    p = _pages(spark, d)
-    n = nodes_of(p)
-    return quality.quality(n, documents_of(p), render.markdown(n)).withColumn("warnings", F.array_join("warnings", "; "))
+    p = _pages(spark, d).withColumn("markdown", render.markdown_of(F.col("nodes")))
+    return quality.quality_of(p).withColumn("warnings", F.array_join("warnings", "; "))
 
 
 @query("page_main_content", f"WITH {_PARTS} SELECT doc_id, {_MD_STORY} AS markdown FROM page")
 def page_main_content(spark, d):
     p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.col("url").alias("source"), F.lit(".html").alias("ext"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
-    return render.markdown(nodes_of(parse_sources(p, options={"extract_content": True})))
+    return parse_sources(p, options={"extract_content": True}).select("doc_id", render.markdown_of(F.col("nodes")).alias("markdown"))
 
 
 @query("front_matter", """

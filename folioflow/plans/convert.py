@@ -8,9 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.operators.chunking import chunks
-from folioflow.operators.images import without_images
-from folioflow.operators.quality import quality
+from folioflow.operators.chunking import chunk_array, chunks
+from folioflow.operators.quality import quality, quality_of
 from folioflow.plans import render
 from folioflow.schema import MAX_FILE_BYTES, MAX_TABLE_ROWS
 from folioflow.sources.external import caption_images, extract_fields, refuse
@@ -38,49 +37,83 @@ class Options:
         return {"images": self.images, "max_table_rows": self.max_table_rows, "extract_content": self.extract_content} | self.extra
 
 
-def to_nodes(sources: DataFrame, options: Options = Options(), formats: Registry = registry) -> tuple[DataFrame, DataFrame]:
-    """(documents, nodes) of sources (doc_id, source, ext, content). Recordings need their transcript first."""
+def to_parsed(sources: DataFrame, options: Options = Options(), formats: Registry = registry) -> DataFrame:
+    """Sources (doc_id, source, ext, content) parsed, a row per document. Recordings need their transcript first."""
     bad = F.col("ext").isin(*AUDIO)
     held = sources.withColumn("refused", F.when(bad, F.lit("recordings are converted as transcripts")).otherwise(F.col("refused") if "refused" in sources.columns else F.lit(None))).withColumn("content", F.when(~bad, F.col("content")))
     parsed = parse_sources(held, formats, options.for_parsers())
+    return parsed.withColumn("nodes", F.filter("nodes", lambda n: n["type"] != "image")) if options.images == "suppress" else parsed
+
+
+def to_nodes(sources: DataFrame, options: Options = Options(), formats: Registry = registry) -> tuple[DataFrame, DataFrame]:
+    """(documents, nodes) of sources, for transforms of one's own."""
+    parsed = to_parsed(sources, options, formats)
     nodes = nodes_of(parsed)
-    if options.images == "suppress":
-        nodes = without_images(nodes)
-    elif options.images == "caption":
+    if options.images == "caption":
         nodes, _ = caption_images(nodes, options.vision_model)
     return documents_of(parsed), nodes
 
 
-def results(docs: DataFrame, nodes: DataFrame, options: Options = Options()) -> DataFrame:
-    """A row per document: markdown, quality and the output asked for.
+def _body(rows: DataFrame, options: Options) -> DataFrame:
+    """Rows with their ``markdown``, finished as the options say."""
+    if options.include_metadata:
+        front = render.front_matter(F.col("metadata"))
+        rows = rows.withColumn("markdown", F.concat_ws("\n\n", F.nullif(front, F.lit("")), F.nullif("markdown", F.lit(""))))
+    return extract_fields(rows, options.extract_schema, options.language_model) if options.extract_schema else rows
+
+
+def _check(options: Options) -> None:
+    if options.output not in ("markdown", "html", "json", "chunks"):
+        raise ValueError(f"unknown output {options.output!r}")
 
-    Quality needs the Markdown; other outputs don't, and Spark leaves out what isn't selected."""
+
+def parsed_results(parsed: DataFrame, options: Options = Options()) -> DataFrame:
+    """As ``results``, of documents whose nodes are as parsed: each renders and is scored in its own row."""
+    _check(options)
+    kept = [c for c in parsed.columns if c != "nodes"]
+    rows = parsed.withColumn("markdown", render.markdown_of(F.col("nodes"))).withColumn("own", F.struct(*kept, "nodes"))
+    scored = quality_of(rows, ("markdown", "own"))
+    figures = [c for c in scored.columns if c not in ("doc_id", "markdown", "own")]
+    body = _body(scored.select(*[F.col(f"own.{c}") for c in kept], "markdown", F.struct(*figures).alias("quality"), F.col("own.nodes").alias("nodes")), options)
+    made = {
+        "html": lambda n: render.html_of(n),
+        "json": lambda n: render.json_of(n, F.col("metadata")),
+        "chunks": lambda n: chunk_array(n, F.col("source"), F.col("metadata.source_format")),
+    }
+    if options.output in made:
+        body = body.withColumn(options.output, made[options.output](F.col("nodes")))
+    return body.drop("nodes")
+
+
+def results(docs: DataFrame, nodes: DataFrame, options: Options = Options()) -> DataFrame:
+    """A row per document: markdown, quality and the output asked for, of documents and a table of their nodes."""
+    _check(options)
     md = render.markdown(nodes)
     body = docs.join(md, "doc_id", "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
-    if options.include_metadata:
-        front = render.front_matter(F.col("metadata"))
-        body = body.withColumn("markdown", F.concat_ws("\n\n", F.nullif(front, F.lit("")), F.nullif("markdown", F.lit(""))))
-    if options.extract_schema:
-        body = extract_fields(body, options.extract_schema, options.language_model)
     scored = quality(nodes, docs, md)
-    body = body.join(scored.select("doc_id", F.struct(*[c for c in scored.columns if c != "doc_id"]).alias("quality")), "doc_id", "left")
+    scored = scored.select("doc_id", F.struct(*[c for c in scored.columns if c != "doc_id"]).alias("quality"))
+    body = _body(body.join(scored, "doc_id", "left"), options)
     if options.output == "html":
-        body = body.join(render.html_document(nodes), "doc_id", "left")
-    elif options.output == "json":
-        body = body.join(render.json_document(nodes, docs), "doc_id", "left")
-    elif options.output == "chunks":
+        return body.join(render.html_document(nodes), "doc_id", "left")
+    if options.output == "json":
+        return body.join(render.json_document(nodes, docs), "doc_id", "left")
+    if options.output == "chunks":
         own = chunks(nodes, docs)
-        own = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in own.columns if c != "doc_id"]))).alias("chunks"))
-        body = body.join(own, "doc_id", "left")
-    elif options.output != "markdown":
-        raise ValueError(f"unknown output {options.output!r}")
+        listed = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in own.columns if c != "doc_id"]))).alias("chunks"))
+        return body.join(listed, "doc_id", "left")
     return body
 
 
+def convert_sources(sources: DataFrame, options: Options = Options(), formats: Registry = registry) -> DataFrame:
+    """Sources to results; only captions, which are asked for image by image, need the nodes as a table."""
+    if options.images == "caption":
+        return results(*to_nodes(sources, options, formats), options)
+    return parsed_results(to_parsed(sources, options, formats), options)
+
+
 def convert(spark: SparkSession, paths: str | list[str], options: Options = Options(), formats: Registry = registry) -> DataFrame:
     """Files to results."""
-    docs, nodes = to_nodes(scan(spark, paths, options.max_file_size), options, formats)
-    return results(docs, nodes, options)
+    return convert_sources(scan(spark, paths, options.max_file_size), options, formats)
 
 
 def convert_to_nodes(spark: SparkSession, paths: str | list[str], options: Options = Options(), formats: Registry = registry) -> tuple[DataFrame, DataFrame]:

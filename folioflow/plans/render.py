@@ -1,17 +1,22 @@
 """Renderers: nodes to Markdown, semantic HTML and JSON, as column expressions.
 
-Each node renders on its own row; a document is then put together by one
-grouping on ``doc_id``.
+A document as it was parsed is one row with an array of nodes, and renders in that
+row (``markdown_of``, ``html_of``, ``json_of``). A table of nodes renders row by row
+and is then put together by one grouping on ``doc_id``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import escape_html, quoted, strip
 
 MAX_LEVEL = 6
+#: Gives the fields of a node: ``F.col`` of a node row, ``getField`` of an array's element.
+Field = Callable[[str], Column]
 
 
 def _wrap(text: Column, on: Column, front: str, back: str | None = None) -> Column:
@@ -189,41 +194,41 @@ def image_html(image: Column) -> Column:
     )
 
 
-def node_markdown() -> Column:
-    """The Markdown of a node row, without the marks of a quote around it."""
-    kind = F.col("type")
-    heading = F.concat(F.repeat(F.lit("#"), F.least(F.col("level"), F.lit(MAX_LEVEL))), F.lit(" "), runs_with(F.col("runs"), run_markdown))
-    code = F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), F.col("code"), F.lit("\n```"))
+def node_markdown(of: Field = F.col) -> Column:
+    """The Markdown of a node, without the marks of a quote around it; ``of`` gives its fields."""
+    kind = of("type")
+    heading = F.concat(F.repeat(F.lit("#"), F.least(of("level"), F.lit(MAX_LEVEL))), F.lit(" "), runs_with(of("runs"), run_markdown))
+    code = F.concat(F.lit("```"), F.coalesce(of("language"), F.lit("")), F.lit("\n"), of("code"), F.lit("\n```"))
     return (
         F.when(kind == "heading", heading)
-        .when(kind == "paragraph", runs_with(F.col("runs"), run_markdown))
-        .when(kind == "table", table_markdown(F.col("table")))
-        .when(kind == "list", items_markdown(F.col("items")))
+        .when(kind == "paragraph", runs_with(of("runs"), run_markdown))
+        .when(kind == "table", table_markdown(of("table")))
+        .when(kind == "list", items_markdown(of("items")))
         .when(kind == "code", code)
-        .when(kind == "image", image_markdown(F.col("image")))
+        .when(kind == "image", image_markdown(of("image")))
         .otherwise("")
     )
 
 
-def node_html() -> Column:
-    kind = F.col("type")
-    level = F.greatest(F.lit(1), F.least(F.coalesce("level", F.lit(1)), F.lit(MAX_LEVEL))).cast("string")
-    inner = runs_with(F.col("runs"), run_html)
+def node_html(of: Field = F.col) -> Column:
+    kind = of("type")
+    level = F.greatest(F.lit(1), F.least(F.coalesce(of("level"), F.lit(1)), F.lit(MAX_LEVEL))).cast("string")
+    inner = runs_with(of("runs"), run_html)
     return (
-        F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), escape_html(runs_text(F.col("runs"))), F.lit("</h"), level, F.lit(">")))
+        F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), escape_html(runs_text(of("runs"))), F.lit("</h"), level, F.lit(">")))
         .when(kind == "paragraph", F.when(strip(inner) != "", F.concat(F.lit("<p>"), inner, F.lit("</p>"))).otherwise(""))
-        .when(kind == "table", table_html(F.col("table")))
-        .when(kind == "list", items_html(F.col("items")))
-        .when(kind == "code", F.concat(F.lit("<pre><code>"), escape_html(F.coalesce("code", F.lit(""))), F.lit("</code></pre>")))
-        .when(kind == "image", image_html(F.col("image")))
+        .when(kind == "table", table_html(of("table")))
+        .when(kind == "list", items_html(of("items")))
+        .when(kind == "code", F.concat(F.lit("<pre><code>"), escape_html(F.coalesce(of("code"), F.lit(""))), F.lit("</code></pre>")))
+        .when(kind == "image", image_html(of("image")))
         .otherwise("")
     )
 
 
-def node_json() -> Column:
-    """The JSON text of a node row; absent fields are left out."""
-    kind, t, g = F.col("type"), F.col("table"), table_grid(F.col("table"), run_json)
-    content = runs_with(F.col("runs"), run_json)
+def node_json(of: Field = F.col) -> Column:
+    """The JSON text of a node; absent fields are left out."""
+    kind, t, g = of("type"), of("table"), table_grid(of("table"), run_json)
+    content = runs_with(of("runs"), run_json)
     table = F.to_json(
         F.struct(
             F.lit("table").alias("type"),
@@ -234,13 +239,13 @@ def node_json() -> Column:
             F.when(F.size(g) > 1, F.slice(g, 2, F.size(g))).otherwise(F.array().cast("array<array<string>>")).alias("rows"),
         )
     )
-    image = F.to_json(F.struct(F.lit("image").alias("type"), F.nullif(F.col("image.kind"), F.lit("")).alias("image_type"), *[F.nullif(F.col(f"image.{a}"), F.lit("")).alias(b) for a, b in (("alt", "alt_text"), ("caption", "caption"), ("ocr", "ocr_text"), ("path", "path"))]))
+    image = F.to_json(F.struct(F.lit("image").alias("type"), F.nullif(of("image")["kind"], F.lit("")).alias("image_type"), *[F.nullif(of("image")[a], F.lit("")).alias(b) for a, b in (("alt", "alt_text"), ("caption", "caption"), ("ocr", "ocr_text"), ("path", "path"))]))
     return (
-        F.when(kind == "heading", F.to_json(F.struct(F.lit("heading").alias("type"), F.col("level"), content.alias("content"))))
+        F.when(kind == "heading", F.to_json(F.struct(F.lit("heading").alias("type"), of("level"), content.alias("content"))))
         .when(kind == "paragraph", F.to_json(F.struct(F.lit("paragraph").alias("type"), content.alias("content"))))
         .when(kind == "table", table)
-        .when(kind == "list", F.when(F.size("items") > 0, items_json(F.col("items"))).otherwise('{"type":"list","ordered":false,"items":[]}'))
-        .when(kind == "code", F.to_json(F.struct(F.lit("code").alias("type"), F.coalesce("code", F.lit("")).alias("content"), F.nullif("language", F.lit("")).alias("language"))))
+        .when(kind == "list", F.when(F.size(of("items")) > 0, items_json(of("items"))).otherwise('{"type":"list","ordered":false,"items":[]}'))
+        .when(kind == "code", F.to_json(F.struct(F.lit("code").alias("type"), F.coalesce(of("code"), F.lit("")).alias("content"), F.nullif(of("language"), F.lit("")).alias("language"))))
         .when(kind == "image", image)
     )
 
@@ -251,6 +256,12 @@ def _ordered(nodes: DataFrame, text: Column, keep: Column) -> DataFrame:
     return own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "quote", "text"))).alias("parts"))
 
 
+def _parts_of(nodes: Column, text: Callable[[Field], Column], keep: Callable[[Column], Column]) -> Column:
+    """As ``_ordered``, of an array of nodes in order."""
+    shown = F.transform(nodes, lambda n: F.struct(n["node_id"].alias("node_id"), n["quote"].alias("quote"), text(n.getField).alias("text")))
+    return F.filter(shown, lambda p: keep(p["text"]))
+
+
 def _joined(parts: Column, gap: str, quote_line: str | None = None, open_: str = "", close: str = "") -> Column:
     """Parts with ``gap`` between; runs of one quote are marked by line or by what opens and closes them."""
     start = F.struct(F.lit("").alias("out"), F.lit(None).cast("int").alias("quote"), F.lit(0).alias("n"))
@@ -274,6 +285,11 @@ def markdown(nodes: DataFrame) -> DataFrame:
     return parts.select("doc_id", _joined(F.col("parts"), "\n\n", "> ").alias("markdown"))
 
 
+def markdown_of(nodes: Column) -> Column:
+    """The Markdown of a document's array of nodes."""
+    return _joined(_parts_of(nodes, node_markdown, lambda text: strip(text) != ""), "\n\n", "> ")
+
+
 def section_markdown(nodes: DataFrame) -> DataFrame:
     """(doc_id, section, markdown): what a stream of a document gives, a row per section that shows something."""
     own = nodes.select("doc_id", "section", "node_id", "quote", node_markdown().alias("text")).where(strip(F.col("text")) != "")
@@ -289,23 +305,41 @@ def paginated(sections: DataFrame, page: str = "page") -> DataFrame:
     return sections.withColumn("before", before).withColumn("markdown", F.concat(F.when(turned, mark).otherwise(""), "markdown")).drop("before")
 
 
+_QUOTE_HTML = ("<blockquote>\n", "\n</blockquote>")
+_QUOTE_JSON = ('{"type":"blockquote","nodes":[', "]}")
+
+
 def html_document(nodes: DataFrame) -> DataFrame:
     """(doc_id, html)."""
     parts = _ordered(nodes, node_html(), F.col("text") != "")
-    return parts.select("doc_id", _joined(F.col("parts"), "\n", None, "<blockquote>\n", "\n</blockquote>").alias("html"))
+    return parts.select("doc_id", _joined(F.col("parts"), "\n", None, *_QUOTE_HTML).alias("html"))
+
+
+def html_of(nodes: Column) -> Column:
+    return _joined(_parts_of(nodes, node_html, lambda text: text != ""), "\n", None, *_QUOTE_HTML)
+
+
+def _with_metadata(listed: Column, metadata: Column | None) -> Column:
+    """The nodes' JSON as an object with, where there is metadata, title and format."""
+    nodes = F.concat(F.lit('{"nodes":['), listed, F.lit("]"))
+    if metadata is None:
+        return F.concat(nodes, F.lit("}"))
+    meta = F.to_json(F.struct(F.nullif(metadata["title"], F.lit("")).alias("title"), F.nullif(metadata["source_format"], F.lit("")).alias("format")))
+    return F.concat(nodes, F.when(meta == "{}", "}").otherwise(F.concat(F.lit(","), F.substring(meta, 2, 1 << 30))))
 
 
 def json_document(nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, json): ``{"nodes": [...]}`` and, with ``docs``, title and format."""
     parts = _ordered(nodes, node_json(), F.col("text").isNotNull())
-    listed = _joined(F.col("parts"), ",", None, '{"type":"blockquote","nodes":[', "]}")
-    out = parts.select("doc_id", F.concat(F.lit('"nodes":['), listed, F.lit("]")).alias("nodes"))
+    out = parts.select("doc_id", _joined(F.col("parts"), ",", None, *_QUOTE_JSON).alias("listed"))
     if docs is None:
-        return out.select("doc_id", F.concat(F.lit("{"), "nodes", F.lit("}")).alias("json"))
-    meta = F.to_json(F.struct(F.nullif(F.col("metadata.title"), F.lit("")).alias("title"), F.nullif(F.col("metadata.source_format"), F.lit("")).alias("format")))
-    meta = docs.select("doc_id", meta.alias("meta"))
-    more = F.when(F.col("meta") == "{}", "").otherwise(F.concat(F.lit(","), F.expr("substring(meta, 2, length(meta) - 2)")))
-    return meta.join(out, "doc_id", "left").select("doc_id", F.concat(F.lit("{"), F.coalesce("nodes", F.lit('"nodes":[]')), more, F.lit("}")).alias("json"))
+        return out.select("doc_id", _with_metadata(F.col("listed"), None).alias("json"))
+    joined = docs.select("doc_id", "metadata").join(out, "doc_id", "left")
+    return joined.select("doc_id", _with_metadata(F.coalesce("listed", F.lit("")), F.col("metadata")).alias("json"))
+
+
+def json_of(nodes: Column, metadata: Column | None = None) -> Column:
+    return _with_metadata(_joined(_parts_of(nodes, node_json, lambda text: text.isNotNull()), ",", None, *_QUOTE_JSON), metadata)
 
 
 def front_matter(meta: Column) -> Column:

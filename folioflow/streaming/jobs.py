@@ -128,14 +128,11 @@ def windowed_progress(events: DataFrame, late: str = "10 minutes", size: str = "
 
 def convert_arrivals(files: DataFrame, write, options=None):
     """A stream of (doc_id, source, ext, content), converted batch by batch; ``write`` gets (results, batch number)."""
-    from folioflow.plans.convert import Options, results, to_nodes
+    from folioflow.plans.convert import Options, convert_sources
 
     own = options or Options()
 
     def one(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        docs, nodes = to_nodes(batch, own)
-        write(results(docs, nodes, own), number)
-        batch.unpersist()
+        write(convert_sources(batch, own), number)
 
     return files.writeStream.foreachBatch(one)

@@ -154,3 +154,34 @@ def test_quality(spark):
     assert got["1"].overall == 1.0 and got["1"].token_reduction_ratio is None and got["1"].passed
     assert got["2"].overall is None and got["2"].error == "OCR is required but not enabled" and not got["2"].passed
     assert got["3"].error == "No content extracted from document" and got["3"].has_any_text
+
+
+def test_rows_render_as_tables_of_nodes_do(spark):
+    from folioflow.plans import convert
+    from folioflow.sources.nodes import flat_items
+    from folioflow.sources.registry import Format, Registry
+
+    quoted, empty = sample(), Outline("x")
+    top = quoted.open(2, "Said | so")
+    quoted.quote = 1
+    quoted.paragraph("one\ntwo", bold=True)
+    quoted.items(flat_items([(0, True, [run("a")]), (1, False, [run("b", code=True)])]))
+    quoted.quote = None
+    quoted.image(alt="a picture", path="p.png", ocr="words")
+    quoted.open(3, "Below", top)
+    quoted.table([[cell(str(i))] for i in range(300)], caption="c", truncated=True, total_rows=900)
+    made = {b"0": quoted, b"1": empty, b"2": sample()}
+    formats = Registry()
+    formats.register(Format("x", (".x",), lambda content, options: made[content]))
+    sources = spark.createDataFrame([(str(i), f"s{i}", ".x", k) for i, k in enumerate(made)] + [("9", "s9", ".none", b"")], "doc_id string, source string, ext string, content binary")
+    plain = lambda rows: sorted((r.asDict(True) for r in rows.collect()), key=lambda r: r["doc_id"])
+    for output in ("markdown", "html", "json", "chunks"):
+        options = convert.Options(output=output, include_metadata=output == "markdown")
+        in_rows = plain(convert.convert_sources(sources, options, formats))
+        docs, nodes = convert.to_nodes(sources, options, formats)
+        by_nodes = plain(convert.results(docs, nodes, options))
+        for r in by_nodes:
+            if r["quality"] is None or output != "markdown":
+                r.update({output: r[output] or {"chunks": [], "html": ""}.get(output, r[output])})
+        assert [r["doc_id"] for r in in_rows] == ["0", "1", "2", "9"]
+        assert in_rows == by_nodes, output
