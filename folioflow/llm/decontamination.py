@@ -5,6 +5,14 @@ characters. A window is ``WINDOW`` consecutive words of a benchmark item; an
 item of fewer words, but not none, is one window. The scan finds possible
 windows by a rolling hash over word ids and verifies each by its words.
 
+What is broadcast is bounded: windows are kept as arrays, some 40 bytes for a word
+of theirs and the distinct words besides, and are of ``BROADCAST_WORDS`` words at most. A
+larger benchmark is first cut down to the windows that occur in the documents at
+all: a bit table of window hashes, of ``FILTER_BITS`` at most, goes to a scan that
+gives the distinct windows which may be of the benchmark, and a join by their words
+keeps those that are. What is left is broadcast in blocks, a pass over the documents each,
+mostly one. Neither texts nor hits are shuffled on either way, only distinct windows.
+
 Defined results: a null or empty text has no words and no hit; an item with
 null text has no window; an item with a null id counts under the empty id;
 equal items each count; repeated document rows are judged one by one.
@@ -14,14 +22,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import as_bytes, map_slices, with_fields
+from folioflow.llm.common import as_bytes, cut_lineage, map_slices, slices, with_fields
 
 WINDOW = 13
-#: Bytes of benchmark text up to which its windows are broadcast. Beyond it they are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Words of windows that are broadcast at once; each word of an item opens a window at most.
+BROADCAST_WORDS = 1_000_000
+#: Bits of the table of window hashes: 32 MB. Beyond a sixteenth as many windows more documents' windows pass it, in vain.
+FILTER_BITS = 1 << 28
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NORMAL = bytes(
@@ -36,27 +47,37 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WindowSet:
-    """The windows of all items, by length, with a hash table to find them."""
+    """Distinct windows as arrays of word ids, by length, with sorted hashes to find them and the items they are of."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
+    def __init__(self, windows: list[tuple[str, list[bytes]]]):
+        """``windows`` are (item, words)."""
         self.vocabulary: dict[bytes, int] = {}
-        self.owners: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            words = words_of(text)
-            k = min(window, len(words))
-            for w in words:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-            for i in range(len(words) - k + 1 if k else 0):
-                self.owners.setdefault(k, {}).setdefault(b" ".join(words[i : i + k]), set()).add(item)
-        mixer = np.random.default_rng(7)
-        self.factors = mixer.integers(1, 1 << 63, size=window, dtype=np.uint64) | np.uint64(1)
-        self.hashes = {k: np.unique(self._hash_keys(k, keys)) for k, keys in self.owners.items()}
-
-    def _hash_keys(self, k: int, keys) -> np.ndarray:
-        ids = np.array([[self.vocabulary[w] for w in key.split(b" ")] for key in keys], dtype=np.uint64)
-        return (ids * self.factors[:k]).sum(axis=1, dtype=np.uint64)
-
-    def scan(self, texts: list[bytes | None]) -> tuple[list[int], list[int], list[list[str]], list[list[dict]]]:
+        self.items = sorted({item for item, _ in windows})
+        number = {item: i for i, item in enumerate(self.items)}
+        longest = max((len(words) for _, words in windows), default=0)
+        self.factors = _factors(longest)
+        by_length: dict[int, tuple[list, list]] = {}
+        for item, words in windows:
+            ids, owners = by_length.setdefault(len(words), ([], []))
+            ids.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
+            owners.append(number[item])
+        #: By length: hashes in order, the windows' ids, where their owners begin, owners.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, (ids, owners) in by_length.items():
+            distinct, which = np.unique(np.array(ids, dtype=np.uint32), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.array(owners)], axis=1), axis=0)
+            hashes = _window_hashes(distinct.astype(np.uint64), self.factors)
+            order = np.argsort(hashes, kind="stable")
+            counts = np.bincount(pairs[:, 0], minlength=len(distinct))
+            own = np.split(pairs[:, 1].astype(np.int32), np.cumsum(counts)[:-1])
+            self.tables[k] = hashes[order], distinct[order], np.append(0, np.cumsum(counts[order])), np.concatenate([own[i] for i in order])
+
+    @classmethod
+    def of_items(cls, items: list[tuple[str, bytes | None]], window: int = WINDOW) -> WindowSet:
+        return cls([(item, words) for item, text in items for words in windows_of(text, window)])
+
+    def scan(self, texts: list[bytes | None], before: list[tuple[list[str], list[dict]]] | None = None) -> tuple[list[int], list[int], list[list[str]], list[list[dict]]]:
+        """Words, hit words, items and spans of each text, added to the items and spans found ``before``."""
         words: list[bytes] = []
         starts = []
         for t in texts:
@@ -68,25 +89,37 @@ class WindowSet:
         ids = np.fromiter((find(w, 0) for w in words), dtype=np.uint64, count=len(words))
         gaps = np.flatnonzero(ids == 0)
         position = np.arange(len(ids))
-        ahead = np.searchsorted(gaps, position)
-        run = np.append(gaps, len(ids))[ahead] - position  # known words from here on
+        run = np.append(gaps, len(ids))[np.searchsorted(gaps, position)] - position  # known words from here on
         delta = np.zeros(len(ids) + 1, dtype=np.int64)
         found: dict[int, set[str]] = {}
-        for k, table in self.hashes.items():
+        for d, (items, spans) in enumerate(before or ()):
+            if items:
+                found[d] = set(items)
+            for s in spans:
+                delta[starts[d] + s["start"]] += 1
+                delta[starts[d] + s["end"]] -= 1
+        for k, (hashes, windows, bounds, owners) in self.tables.items():
             at = np.flatnonzero(run >= k)
             if not len(at):
                 continue
             h = np.zeros(len(at), dtype=np.uint64)
             for j in range(k):
                 h += ids[at + j] * self.factors[j]
-            at = at[table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h]
-            docs = np.searchsorted(starts, at, side="right") - 1
-            owners = self.owners[k]
-            for s, d in zip(at.tolist(), docs.tolist(), strict=True):
-                if (who := owners.get(b" ".join(words[s : s + k]))) is not None:
-                    delta[s] += 1
-                    delta[s + k] -= 1
-                    found.setdefault(d, set()).update(who)
+            first = np.searchsorted(hashes, h)
+            while True:  # windows whose hashes are alike are tried one after another
+                some = np.flatnonzero(hashes[np.minimum(first, len(hashes) - 1)] == h) if len(at) else at
+                some = some[first[some] < len(hashes)]
+                if not len(some):
+                    break
+                at, h, first = at[some], h[some], first[some]
+                same = (ids[at[:, None] + np.arange(k)] == windows[first]).all(axis=1)
+                hit, which = at[same], first[same]
+                np.add.at(delta, hit, 1)
+                np.add.at(delta, hit + k, -1)
+                docs = np.searchsorted(starts, hit, side="right") - 1
+                for d, w in np.unique(np.stack([docs, which], axis=1), axis=0).tolist():
+                    found.setdefault(d, set()).update(self.items[o] for o in owners[bounds[w] : bounds[w + 1]].tolist())
+                at, h, first = at[~same], h[~same], first[~same] + 1
         hit = np.cumsum(delta[:-1]) > 0
         counted = np.append(0, np.cumsum(hit))
         n_words = (np.diff(starts) - 1).tolist()
@@ -99,6 +132,20 @@ class WindowSet:
         return n_words, n_hit, items, spans
 
 
+def windows_of(text: bytes | None, window: int = WINDOW) -> list[list[bytes]]:
+    words = words_of(text)
+    k = min(window, len(words))
+    return [words[i : i + k] for i in range(len(words) - k + 1)] if k else []
+
+
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(1, 1 << 63, size=n, dtype=np.uint64) | np.uint64(1)
+
+
+def _window_hashes(ids: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    return (ids * factors[: ids.shape[1]]).sum(axis=1, dtype=np.uint64)
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text")
@@ -113,28 +160,99 @@ def find_overlaps(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """Per document row: id, text, ``n_words``, ``n_hit``, ``items`` (sorted) and word ``spans`` of hits."""
     items = _items(benchmark, item_col, item_text_col)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > broadcast_bytes:
-        return _overlaps_by_join(source, items, window)
-    windows = docs.sparkSession.sparkContext.broadcast(
-        WindowSet([(r.item, None if r.text is None else r.text.encode()) for r in items.collect()], window)
-    )
+    total = items.agg(F.coalesce(F.sum(F.size(_word_array(F.coalesce("text", F.lit(""))))), F.lit(0))).first()[0]
+    if total <= broadcast_words:
+        sets = [WindowSet.of_items([(r.item, None if r.text is None else r.text.encode()) for r in items.collect()], window)]
+    else:
+        sets = _occurring(source, items, window, broadcast_words)
+    none = F.array()
+    found = source.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": none.cast("array<string>"), "spans": none.cast(_SPANS.partition(" ")[2])})
+    for own in sets:
+        found = _scanned(found, own)
+    return found
+
+
+def _scanned(found: DataFrame, own: WindowSet) -> DataFrame:
+    """``found`` with what a set of windows adds to it."""
+    windows = found.sparkSession.sparkContext.broadcast(own)
 
     def scan(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column("text")
-        n_words, n_hit, items, spans = windows.value.scan(as_bytes(texts))
+        before = list(zip(part.column("items").to_pylist(), part.column("spans").to_pylist(), strict=True))
+        n_words, n_hit, items, spans = windows.value.scan(as_bytes(texts), before)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays(
             [part.column("id"), texts, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)],
             ["id", "text", "n_words", "n_hit", "items", "spans"],
         )
 
-    return map_slices(source, scan, with_fields(source.schema.fields, _SCHEMA))
+    return map_slices(found, scan, with_fields(found.schema.fields[:2], _SCHEMA))
+
+
+def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Three places in a bit table of ``size`` (a power of two) for each hash."""
+    with np.errstate(over="ignore"):
+        mixed = [(hashes ^ (hashes >> np.uint64(31))) * np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+    return np.stack([m >> np.uint64(64 - size.bit_length() + 1) for m in mixed]).astype(np.int64)
+
+
+def _occurring(source: DataFrame, items: DataFrame, window: int, broadcast_words: int) -> list[WindowSet]:
+    """The benchmark's windows that occur in the documents, in sets of bounded size; each is of all its items."""
+    spark, factors = source.sparkSession, _factors(window)
+
+    def word_hashes(words: list[bytes]) -> np.ndarray:
+        known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+        return np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(item, len(w), b" ".join(w), int(_window_hashes(word_hashes(w)[None, :], factors)[0])) for item, text in zip(part.column("item").to_pylist(), as_bytes(part.column("text")), strict=True) for w in windows_of(text, window)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(np.array(columns[3], dtype=np.uint64).view(np.int64))], ["item", "k", "window", "hash"])
+
+    tests = cut_lineage(map_slices(items, cut, "item string, k int, window binary, hash long").distinct())
+    lengths = [r.k for r in tests.select("k").distinct().collect()]  # ``window`` at most
+    size = min(FILTER_BITS, 1 << max(10, int(16 * tests.count()).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            at = np.unique(_bits(batch.column(0).to_numpy().view(np.uint64), size))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "mask"])
+
+    words = tests.select("hash").mapInArrow(places, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # ``size`` bits at most
+    table = np.zeros(size >> 6, dtype=np.int64)
+    table[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    held = spark.sparkContext.broadcast(table)
+
+    def candidates(batches):
+        for part in slices(batches):
+            bits, seen = held.value, set()
+            for text in as_bytes(part.column("text")):
+                own = words_of(text)
+                hashes = word_hashes(own)
+                for k in lengths:
+                    n = len(own) - k + 1
+                    if n <= 0:
+                        continue
+                    h = np.zeros(n, dtype=np.uint64)
+                    for j in range(k):
+                        h += hashes[j : j + n] * factors[j]
+                    at = _bits(h, size)
+                    passed = ((bits[at >> 6] >> (at & 63)) & 1).all(axis=0)
+                    seen.update((k, b" ".join(own[i : i + k])) for i in np.flatnonzero(passed).tolist())
+            for lo in range(0, len(rows := sorted(seen)), 4096):
+                at_once = rows[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in at_once], pa.int32()), pa.array([w for _, w in at_once], pa.binary())], ["k", "window"])
+
+    there = source.select("text").mapInArrow(candidates, "k int, window binary").distinct()
+    hits = cut_lineage(tests.join(there, ["k", "window"], "left_semi").select("item", "k", "window"))
+    blocks = max(1, -(-2 * hits.count() // broadcast_words))  # of half the size, so that none is too large
+    in_block = F.pmod(F.xxhash64("window"), F.lit(blocks))
+    return [WindowSet([(r.item, bytes(r.window).split(b" ")) for r in hits.where(in_block == b).collect()]) for b in range(blocks)]
 
 
 def _word_array(column):
@@ -142,46 +260,6 @@ def _word_array(column):
     return F.filter(F.split(F.regexp_replace(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " "), lambda w: w != "")
 
 
-def _windows(words, k):
-    n = F.size(words)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")))
-
-
-def _overlaps_by_join(source: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """The same result for a benchmark of any size: windows meet in a shuffled join, in DataFrame operations."""
-    parsed = items.select("item", _word_array(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
-    own = parsed.select("item", F.least(F.size("w"), F.lit(window)).alias("k"), F.col("w"))
-    lengths = [r.k for r in own.select("k").distinct().collect()]  # at most ``window`` values
-    keyed = source.withColumn("key", F.xxhash64("id", "text")).withColumn("w", _word_array(F.coalesce("text", F.lit(""))))
-    hits = None
-    for k in sorted(lengths):
-        tests = own.where(F.col("k") == k).select(F.explode(_windows(F.col("w"), k)).alias("window"), "item").distinct()
-        here = keyed.select("id", "key", F.posexplode(_windows(F.col("w"), k)).alias("pos", "window")).join(tests, "window")
-        one = here.select("id", "key", "item", F.explode(F.sequence(F.col("pos"), F.col("pos") + (k - 1))).alias("at"))
-        hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
-        return source.withColumns(
-            {"n_words": F.size(_word_array(F.coalesce("text", F.lit("")))).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:long,end:long>>")}
-        )
-    found = hits.groupBy("id", "key").agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"))
-    spans = F.expr(
-        """aggregate(at, cast(array() as array<struct<start:bigint,end:bigint>>), (s, x) ->
-             case when size(s) > 0 and element_at(s, -1).end = x
-                  then concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).start as start, cast(x + 1 as bigint) as end)))
-                  else concat(s, array(struct(cast(x as bigint) as start, cast(x + 1 as bigint) as end))) end)"""
-    )
-    found = found.select(F.col("id").alias("f_id"), F.col("key").alias("f_key"), F.size("at").cast("long").alias("hit"), F.col("items").alias("own"), spans.alias("runs"))
-    joined = keyed.join(found, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left")
-    return joined.select(
-        "id",
-        "text",
-        F.size("w").cast("long").alias("n_words"),
-        F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("own", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("runs", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
-    )
-
-
 def is_contaminated():
     """At least a twentieth of the words are hit."""
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))

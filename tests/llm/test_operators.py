@@ -57,7 +57,7 @@ def brute_overlap(text, items, window=13):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 0])
+@pytest.mark.parametrize("bound", [1 << 20, 20, 2])
 def test_overlaps(spark, monkeypatch, bound):
     monkeypatch.setattr(decontamination.find_overlaps, "__defaults__", (*decontamination.find_overlaps.__defaults__[:-1], bound))
     texts = [t for t in TEXTS if t is None or len(t) < 10000] + [" ".join(f"w{i}" for i in range(50, 130)), "W100 w101 w102"]
@@ -80,8 +80,8 @@ def test_removal(spark):
 
 def test_span_paths_agree(spark):
     docs = odd_rows(spark, ["the cat sat and one the cat sat", None, LONG])
-    spans = lambda b: sorted((r.id, r.n_hit, [(s.start, s.end) for s in r.spans]) for r in decontamination.find_overlaps(docs, bench_rows(spark), broadcast_bytes=b).collect())
-    assert spans(0) == spans(1 << 20)
+    spans = lambda b: sorted((r.id, r.n_hit, [(s.start, s.end) for s in r.spans]) for r in decontamination.find_overlaps(docs, bench_rows(spark), broadcast_words=b).collect())
+    assert spans(2) == spans(20) == spans(1 << 20)
 
 
 # 9
