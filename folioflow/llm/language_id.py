@@ -6,7 +6,8 @@ words into pieces, by a forward pass; the pieces' probabilities come from
 expectation maximisation over the same lattices. Words are lower-cased runs of
 non-space characters without the signs and digits at their ends, led by a word
 mark; pieces never cross words, so a word's likelihoods are worked out once and
-remembered.
+remembered. A run above ``LONGEST`` characters, as of a script without spaces, is cut
+into words of that many.
 
 Fitting takes a bounded sample: about ``SAMPLE`` rows a language, chosen by a
 hash of the id; all of it runs on executors and only the distributions (pieces
@@ -38,6 +39,8 @@ SAMPLE = 1000
 ROUNDS = 3
 #: Words whose likelihoods a worker remembers; it starts afresh beyond that.
 REMEMBERED = 400_000
+#: Characters of a word.
+LONGEST = 64
 FOLDS, HELD_OUT = 5, 0
 _MARK = "▁"
 _UNKNOWN = -16.0
@@ -63,7 +66,18 @@ def has_letter(text: str | None) -> bool:
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    return cut_words((text or "").lower().split())
+
+
+def cut_words(words: list[str]) -> list[str]:
+    """Words, the longer ones in parts."""
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        core = w if len(w) <= LONGEST else w.strip(_ENDS)
+        out += [core] if len(core) <= LONGEST else [core[i : i + LONGEST] for i in range(0, len(core), LONGEST)]
+    return out
 
 
 class Lattice:
@@ -142,7 +156,7 @@ class Model:
             made.make_automaton()
             self._automaton = made
             self._places: dict[str, int] = {}
-            self._scores = np.zeros((1, len(self.languages)))
+            self._scores = np.zeros((1024, len(self.languages)))  # row 0 stays zero
         return self._automaton
 
     def lattice(self, words: list[str]) -> Lattice:
@@ -151,7 +165,7 @@ class Model:
     def _rows(self, words: set[str]) -> dict[str, int]:
         """Where each word's likelihoods stand; words of signs alone have row 0, of zeros."""
         if len(self._places) > self.remembered:
-            self._places, self._scores = {}, self._scores[:1]
+            self._places, self._scores = {}, self._scores[:1024]
         places, out, new = self._places, {}, []
         for w in words:
             core = w.strip(_ENDS)
@@ -162,8 +176,12 @@ class Model:
                 out[w] = at
         cores = sorted({c for _, c in new}, key=len)
         parts = [self.lattice(cores[i : i + 5000]).forward(self.weights) for i in range(0, len(cores), 5000)]
-        places.update(zip(cores, range(len(self._scores), len(self._scores) + len(cores)), strict=True))
-        self._scores = np.concatenate([self._scores, *parts])
+        start = len(places) + 1
+        while start + len(cores) > len(self._scores):
+            self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
+        if cores:
+            self._scores[start : start + len(cores)] = np.concatenate(parts)
+        places.update(zip(cores, range(start, start + len(cores)), strict=True))
         out.update((w, places[c]) for w, c in new)
         return out
 
@@ -206,6 +224,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             words = pc.utf8_split_whitespace(pc.utf8_lower(part.column("text")))
             flat = pc.utf8_trim(pc.list_flatten(words), characters=_ENDS)
             langs = pc.take(part.column("lang"), pc.list_parent_indices(words))
+            long = pc.greater(pc.utf8_length(flat), LONGEST)
+            if pc.any(long).as_py():
+                parts = [(lang, p.strip(_ENDS)) for lang, w in zip(langs.filter(long).to_pylist(), flat.filter(long).to_pylist(), strict=True) for p in cut_words([w])]
+                langs = pa.concat_arrays([langs.filter(pc.invert(long)), pa.array([lang for lang, _ in parts], langs.type)])
+                flat = pa.concat_arrays([flat.filter(pc.invert(long)), pa.array([p for _, p in parts], flat.type)])
             grouped = pa.table({"lang": langs, "word": flat}).group_by(["lang", "word"]).aggregate([([], "count_all")])
             for batch in grouped.rename_columns(["lang", "word", "n"]).combine_chunks().to_batches():
                 yield batch

@@ -392,6 +392,44 @@ def test_segmentations_are_summed():
     assert np.isclose(used[pieces.index("b")] + used[pieces.index("ab")] + used[pieces.index("▁ab")], 1.0)
 
 
+def test_fitting_by_hand(spark):
+    """One round of expectation maximisation over every segmentation, one by one."""
+    docs = spark.createDataFrame([(1, "The cat, the Hat 42!", "en"), (2, "die Katze", "de"), (3, "x" * 150 + " the", "en")], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, rounds=1)
+    place = {p: i for i, p in enumerate(model.pieces)}
+    words = {"de": ["die", "katze"], "en": ["the", "cat", "the", "hat", "the", "x" * 64, "x" * 64, "x" * 22]}
+    mass = np.zeros((len(place), 2))
+    for i, lang in enumerate(model.languages):
+        for word in words[lang]:
+            line, even = "▁" + word, 1 / len(place)
+            n = len(line)
+            options = [[(s, place.get(line[s:e])) for s in range(e) if line[s:e] in place or e - s == 1] for e in range(n + 1)]
+            weight = lambda p: even if p is not None else np.exp(-np.log(len(place)))
+            front = [1.0] + [0.0] * n
+            for e in range(1, n + 1):
+                front[e] = sum(front[s] * weight(p) for s, p in options[e])
+            back = [0.0] * n + [1.0]
+            for e in range(n, 0, -1):
+                for s, p in options[e]:
+                    back[s] += back[e] * weight(p)
+            for e in range(1, n + 1):
+                for s, p in options[e]:
+                    if p is not None:
+                        mass[p, i] += front[s] * weight(p) * back[e] / front[n]
+    own = mass / mass.sum(axis=0)
+    want = np.log(own * 0.99 + (own.mean(axis=1, keepdims=True) * 0.9 + 0.1 / len(place)) * 0.01)
+    assert model.languages == ["de", "en"] and np.allclose(model.weights[:-1], want, atol=1e-6)
+
+
+def test_remembered_words(monkeypatch):
+    model = language_id.Model(["a", "b"], ["▁", "a", "b", "ab"], np.log(np.random.default_rng(2).dirichlet(np.ones(5), size=2).T), remembered=40)
+    texts = [" ".join(f"a{'b' * (i % 7)}a{i} ab!" for i in range(lo, lo + 30)) for lo in range(0, 3000, 30)] + ["字" * 200 + "。", "!!"]
+    got = model.predict(texts)
+    fresh = [language_id.Model(*model.__getstate__()).predict([t]) for t in texts]
+    assert got[0] == [f[0][0] for f in fresh] and np.allclose(got[1], [f[1][0] for f in fresh])
+    assert language_id.words_of("(" + "a" * 130 + ")") == ["a" * 64, "a" * 64, "aa"] and language_id.words_of("A b") == ["a", "b"]
+
+
 def test_languages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     got = language_id.language_report(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
