@@ -86,6 +86,7 @@ for _f in (
     Format("xlsx", (".xlsx", ".xlsm"), f"{_S}.sheets:parse_xlsx", ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",)),
     Format("docx", (".docx",), f"{_S}.office:parse_docx", ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",)),
     Format("pptx", (".pptx",), f"{_S}.office:parse_pptx", ("application/vnd.openxmlformats-officedocument.presentationml.presentation",)),
+    Format("pdf", (".pdf",), f"{_S}.pdf:parse", ("application/pdf",)),
     Format("epub", (".epub",), f"{_S}.epub:parse", ("application/epub+zip",)),
 ):
     registry.register(_f)
