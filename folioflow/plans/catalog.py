@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.plans import catalog_formats, catalog_service, catalog_tables, catalog_text
+from folioflow.plans import catalog_formats, catalog_parts, catalog_service, catalog_tables, catalog_text
 
-_PARTS = (catalog_text, catalog_tables, catalog_service, catalog_formats)
+_PARTS = (catalog_text, catalog_tables, catalog_service, catalog_formats, catalog_parts)
 
 
 def queries() -> dict:
