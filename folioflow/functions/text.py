@@ -167,6 +167,11 @@ def media_type(path: Column) -> Column:
     return F.when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "gif", "image/gif").when(ext == "webp", "image/webp").otherwise("image/png")
 
 
+def data_url(path: Column, content: Column) -> Column:
+    """An image's bytes as a ``data:`` address, as vision models take them."""
+    return F.concat(F.lit("data:"), media_type(path), F.lit(";base64,"), F.base64(content))
+
+
 def percent(ratio: Column) -> Column:
     """Whole percent, half to even."""
     return F.concat(F.bround(ratio * 100, 0).cast("int").cast("string"), F.lit("%"))

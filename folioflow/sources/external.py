@@ -184,26 +184,29 @@ def fetch(sources: DataFrame, download: Callable[[str], bytes] = refuse) -> Data
     return sources.withColumn("file_id", drive_file_id(F.col("source"))).withColumn("got", get(F.col("file_id"))).select(*sources.columns, "file_id", "got.content", "got.error")
 
 
+def post_until_taken(post: Callable[[str, str], int], url: str, body: str, attempts: int = 3, pauses: tuple[float, ...] = (1, 2, 4)) -> tuple[int, str | None]:
+    """How many attempts a callback took, and the error of the last one or None: an answer of the 200s takes it."""
+    error = None
+    for n in range(1, attempts + 1):
+        try:
+            status = post(url, body)
+            error = None if 200 <= status < 300 else f"status {status}"
+        except Exception as e:  # noqa: BLE001
+            error = str(e)
+        if error is None:
+            return n, None
+        if n < attempts:
+            time.sleep(pauses[min(n - 1, len(pauses) - 1)])
+    return attempts, error
+
+
 def deliver(results: DataFrame, post: Callable[[str, str], int], attempts: int = 3, pauses: tuple[float, ...] = (1, 2, 4)) -> DataFrame:
     """(job_id, delivered, attempts, error): results (job_id, url, body) posted until an answer of the 200s comes."""
 
     def run(parts):
         for part in parts:
-            rows = []
-            for job, url, body in zip(part["job_id"], part["url"], part["body"], strict=True):
-                error, n = None, 0
-                for n in range(1, attempts + 1):
-                    try:
-                        status = post(url, body)
-                        error = None if 200 <= status < 300 else f"status {status}"
-                    except Exception as e:  # noqa: BLE001
-                        error = str(e)
-                    if error is None:
-                        break
-                    if n < attempts:
-                        time.sleep(pauses[min(n - 1, len(pauses) - 1)])
-                rows.append((job, error is None, n, error))
-            yield pd.DataFrame(rows, columns=["job_id", "delivered", "attempts", "error"])
+            tried = [(job, *post_until_taken(post, url, body, attempts, pauses)) for job, url, body in zip(part["job_id"], part["url"], part["body"], strict=True)]
+            yield pd.DataFrame([(job, error is None, n, error) for job, n, error in tried], columns=["job_id", "delivered", "attempts", "error"])
 
     return results.select("job_id", "url", "body").mapInPandas(run, "job_id string, delivered boolean, attempts int, error string")
 

@@ -167,14 +167,15 @@ def _slide_runs(p, links: dict[str, str]) -> list[dict]:
 
 
 def bullet(p) -> tuple[bool, bool, int]:
-    """Whether a paragraph is an item, counts, and its level: no bullet wins over a bullet, and that over a level."""
+    """Whether a paragraph is an item, counts, and its level: no bullet wins over a bullet, a character over a number, and both over a level."""
     props = _first(p, "pPr")
     level = int(_attr(props, "lvl", "0"))
     if _first(props, "buNone") is not None:
         return False, False, level
-    if _first(props, "buAutoNum") is not None:
-        return True, True, level
-    return _first(props, "buChar") is not None or level > 0, False, level
+    if _first(props, "buChar") is not None:
+        return True, False, level
+    counts = _first(props, "buAutoNum") is not None
+    return counts or level > 0, counts, level
 
 
 def _frame(out: Outline, body, links: dict[str, str], skip: int = 0) -> int:
@@ -235,9 +236,11 @@ def _title(shapes: list, height: int) -> tuple[str, object, int] | None:
     found = []
     for s, body, lines in texts:
         points = next((int(v) / 100 for e in body.iter() if local(e.tag) == "rPr" and (v := e.get("sz"))), 0)
-        text, top = " ".join(x for x in lines if x), _box(s)[1]
-        if top < TITLE_BAND * height and points >= TITLE_POINTS and len(text) <= TITLE_CHARS:
-            found.append((-points, top, len(found), text, s, len(lines)))
+        first = next(i for i, x in enumerate(lines) if x)
+        text, top = lines[first], _box(s)[1]
+        listed = any(bullet(p)[0] for p in _kids(body, "p"))
+        if top < TITLE_BAND * height and points >= TITLE_POINTS and len(text) <= TITLE_CHARS and not listed:
+            found.append((-points, top, len(found), text, s, first + 1))
     if found:
         return min(found)[3:]
     for s, body, lines in texts:

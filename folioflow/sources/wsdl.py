@@ -58,11 +58,14 @@ def _types(out: Outline, root: Element) -> None:
                 for r in (r for r in e.iter() if local(r.tag) == "restriction"):
                     if not fields:
                         fields = [(_name(e), _short(_name(r, "base")) or DASH)]
-                named.append((_name(e), fields))
+                said = [" ".join("".join(d.itertext()).split()) for a in _under(e, "annotation") for d in _under(a, "documentation")]
+                named.append((_name(e), " ".join(t for t in said if t), fields))
     if named:
         top = out.open(1, "Types")
-        for name, fields in named:
+        for name, said, fields in named:
             out.open(2, name, top)
+            if said:
+                out.paragraph(said)
             if fields:
                 _pairs(out, ("Field", "Type"), fields)
 

@@ -55,6 +55,13 @@ def test_small_strings(spark):
     assert values(spark, T.percent, [0.5, 0.125, 0.785], "double") == ["50%", "12%", "78%"]
 
 
+def test_data_urls(spark):
+    import base64
+
+    frame = spark.createDataFrame([("a.JPG", bytes(range(200)))], "p string, c binary")
+    assert frame.select(T.data_url(F.col("p"), F.col("c")).alias("u")).first().u.replace("\r\n", "") == "data:image/jpeg;base64," + base64.b64encode(bytes(range(200))).decode()
+
+
 def test_pipe_tables(spark):
     assert values(spark, T.gfm_rows, ["| a | b |\n| --- | :-: |\n| 1 | 2 |", "no table", "| alone |"]) == [[["a", "b"], ["1", "2"]], [], []]
 
