@@ -14,26 +14,34 @@ from folioflow.schema import CHUNK_TOKENS
 _TEXTS = "array<string>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, whatever lambda this stands in."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pack_texts(parts: Column, prefix: Column, bound: int = CHUNK_TOKENS) -> Column:
     """Texts joined by blank lines into bins of at most ``bound`` estimated tokens; the first bin opens with ``prefix``.
 
     A bin closes when the next text would pass the bound; a text above the bound has a bin of its own.
-    What stands between texts isn't counted."""
+    What stands between texts isn't counted. A fold finds where bins start, and each is then cut out whole."""
     whole = F.concat(prefix, F.array_join(parts, "\n\n"))
-    start = F.struct(F.array().cast(f"array<{_TEXTS}>").alias("bins"), F.array().cast(_TEXTS).alias("bin"), token_estimate(prefix).alias("n"))
+    start = F.struct(F.array(F.lit(0)).alias("starts"), token_estimate(prefix).alias("n"), F.lit(0).alias("i"), F.lit(0).alias("first"))
 
-    def step(s: Column, p: Column) -> Column:
-        n = token_estimate(p)
-        full = (F.size(s["bin"]) > 0) & (s["n"] + n > bound)
+    def step(s: Column, n: Column) -> Column:
+        full = (s["i"] > s["first"]) & (s["n"] + n > bound)
         return F.struct(
-            F.when(full, F.concat(s["bins"], F.array(s["bin"]))).otherwise(s["bins"]).alias("bins"),
-            F.when(full, F.array(p)).otherwise(F.concat(s["bin"], F.array(p))).alias("bin"),
+            F.when(full, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"),
             F.when(full, n).otherwise(s["n"] + n).alias("n"),
+            (s["i"] + 1).alias("i"),
+            F.when(full, s["i"]).otherwise(s["first"]).alias("first"),
         )
 
-    bins = F.aggregate(parts, start, step, lambda s: F.concat(s["bins"], F.array(s["bin"])))
-    cut = F.transform(bins, lambda b, i: F.concat(F.when(i == 0, prefix).otherwise(""), F.array_join(b, "\n\n")))
-    return F.when(token_estimate(whole) <= bound, F.array(whole)).otherwise(cut)
+    def cut(starts: Column) -> Column:
+        own = lambda s, k: F.array_join(F.slice(parts, s + 1, F.coalesce(F.get(starts, k + 1), F.size(parts)) - s), "\n\n")
+        return F.transform(starts, lambda s, k: F.concat(F.when(k == 0, prefix).otherwise(""), own(s, k)))
+
+    bins = _let(F.aggregate(F.transform(parts, token_estimate), start, step, lambda s: s["starts"]), cut)
+    return _let(whole, lambda w: F.when(token_estimate(w) <= bound, F.array(w)).otherwise(bins))
 
 
 def _blocks(parts: Column) -> Column:
@@ -64,11 +72,6 @@ def _islands(blocks: Column) -> Column:
     return F.aggregate(blocks, start, step)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, whatever lambda this stands in."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def section_chunks(level: Column, heading: Column, parts: Column, bound: int = CHUNK_TOKENS) -> Column:
     """The chunks of a section, an array of (type, content, token_count); ``parts`` is an ordered array of (quote, table, text)."""
     one = lambda kind, text, n: F.struct(F.lit(kind).alias("type"), text.alias("content"), n.alias("token_count"))
