@@ -55,12 +55,12 @@ def cap_rows(rows: DataFrame, keys: tuple[str, ...], order: str, most: int = MAX
 
 
 def fill_merged(cells: DataFrame, merges: DataFrame, keys: tuple[str, ...] = ("doc_id", "sheet")) -> DataFrame:
-    """Every cell of a merged region takes the value of the region's first cell."""
-    c, m = cells.alias("c"), merges.alias("m")
+    """Every cell of a merged region takes the value of the region's first cell; regions meet cells row by row."""
+    c, m = cells.alias("c"), merges.withColumn("in_row", F.explode(F.sequence("min_row", "max_row"))).alias("m")
     same = F.lit(True)
     for k in keys:
         same = same & (F.col(f"c.{k}") == F.col(f"m.{k}"))
-    inside = same & F.col("c.row").between(F.col("m.min_row"), F.col("m.max_row")) & F.col("c.col").between(F.col("m.min_col"), F.col("m.max_col"))
+    inside = same & (F.col("c.row") == F.col("m.in_row")) & F.col("c.col").between(F.col("m.min_col"), F.col("m.max_col"))
     joined = c.join(m, inside, "left").select("c.*", F.col("m.min_row").alias("r0"), F.col("m.min_col").alias("c0"))
     anchors = cells.select(*[F.col(k).alias(f"a_{k}") for k in keys], F.col("row").alias("a_row"), F.col("col").alias("a_col"), F.col("value").alias("anchor"))
     at = (F.col("r0") == F.col("a_row")) & (F.col("c0") == F.col("a_col"))

@@ -11,6 +11,8 @@ SILENCE = 30.0
 BATCH = 20
 LEAST_PARAGRAPHS = 3
 LOW_KBPS, LONG_SECONDS, LOW_HERTZ = 32, 14_400, 8000
+#: Seconds of the spans in which segments meet turns.
+MEETING = 30
 
 
 def spoken(segments: DataFrame) -> DataFrame:
@@ -39,12 +41,15 @@ def speaker_labels(turns: DataFrame) -> DataFrame:
 
 
 def match_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
-    """Segments with the speaker of the first turn that holds their midpoint, ends included; null if none does."""
+    """Segments with the speaker of the first turn that holds their midpoint, ends included; null if none does.
+
+    They meet by spans of ``MEETING`` seconds, so a long recording isn't compared with itself as a whole."""
     named = turns.join(speaker_labels(turns), ["doc_id", "raw_label"])
-    s = segments.drop("speaker").alias("s")
-    t = named.alias("t")
-    mid = (F.col("s.start") + F.col("s.end")) / 2
-    inside = (F.col("s.doc_id") == F.col("t.doc_id")) & mid.between(F.col("t.start"), F.col("t.end"))
+    span = lambda seconds: F.floor(seconds / MEETING)
+    mid = (F.col("start") + F.col("end")) / 2
+    s = segments.drop("speaker").withColumn("mid", mid).withColumn("span", span(F.col("mid"))).alias("s")
+    t = named.where("start <= end").withColumn("span", F.explode(F.sequence(span(F.col("start")), span(F.col("end"))))).alias("t")
+    inside = (F.col("s.doc_id") == F.col("t.doc_id")) & (F.col("s.span") == F.col("t.span")) & F.col("s.mid").between(F.col("t.start"), F.col("t.end"))
     found = s.join(t, inside).groupBy(F.col("s.doc_id").alias("doc_id"), F.col("s.seg_no").alias("seg_no")).agg(F.min_by("t.speaker", "t.turn_no").alias("speaker"))
     return segments.drop("speaker").join(found, ["doc_id", "seg_no"], "left")
 
