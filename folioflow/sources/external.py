@@ -184,6 +184,27 @@ def fetch(sources: DataFrame, download: Callable[[str], bytes] = refuse) -> Data
     return sources.withColumn("file_id", drive_file_id(F.col("source"))).withColumn("got", get(F.col("file_id"))).select(*sources.columns, "file_id", "got.content", "got.error")
 
 
+#: Extensions of shortcuts to shared documents, the words of their addresses, and what they are exported as.
+SHARED = {".gdoc": ("/document/", ".docx"), ".gsheet": ("/spreadsheets/", ".xlsx"), ".gslides": ("/presentation/", ".pptx")}
+
+
+def shared_sources(sources: DataFrame, download: Callable[[str], bytes] = refuse) -> DataFrame:
+    """``sources`` (doc_id, source, ext, content) in which shortcut files and addresses of shared documents are
+    replaced by what they stand for, so that the parsers can take them; what can't be fetched says why in ``refused``."""
+    from folioflow.functions.text import drive_file_id
+
+    note = F.decode(F.col("content"), "utf-8")
+    address = F.when(F.col("ext").isin(*SHARED), F.coalesce(F.get_json_object(note, "$.doc_id"), F.get_json_object(note, "$.url"), F.lit(""))).otherwise(F.col("source"))
+    kind = F.lit(None).cast("string")
+    for ext, (word, export) in SHARED.items():
+        kind = F.when((F.col("ext") == ext) | (F.col("ext").isin("") | F.col("ext").isNull()) & F.contains(F.col("source"), F.lit(word)), export).otherwise(kind)
+    known = sources.withColumn("export", kind)
+    plain = known.where("export is null").select("doc_id", "source", "ext", "content", F.lit(None).cast("string").alias("refused"))
+    wanted = known.where("export is not null").select("doc_id", F.col("source").alias("named"), F.col("export").alias("ext"), drive_file_id(address).alias("source"))
+    got = fetch(wanted, download).select("doc_id", F.col("named").alias("source"), "ext", "content", F.col("error").alias("refused"))
+    return plain.unionByName(got)
+
+
 def post_until_taken(post: Callable[[str, str], int], url: str, body: str, attempts: int = 3, pauses: tuple[float, ...] = (1, 2, 4)) -> tuple[int, str | None]:
     """How many attempts a callback took, and the error of the last one or None: an answer of the 200s takes it."""
     error = None
