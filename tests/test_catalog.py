@@ -43,4 +43,4 @@ def test_query(spark, sf_dir, duck, name):
 
 def test_corruption_of_every_document(spark, sf_dir):
     docs = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
-    assert {r.doc_id for r in catalog.queries()["encoding_corruption_all"](spark, sf_dir).collect()} == docs
+    assert {r.doc_id for r in catalog.queries()["encoding_corruption"](spark, sf_dir).collect()} == docs
