@@ -170,8 +170,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pivot
 
 def _hot(counts: DataFrame, key: str, n: str = "n") -> list:
     """The hot keys of a table of a count per key."""
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    return [r[0] for r in counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(key).collect()]
+    total, most = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    return [r[0] for r in counts.where(F.col(n) > bound).select(key).collect()] if most > bound else []
 
 
 def _join_by_key(rows: DataFrame, one: DataFrame, key: str, hot: list) -> DataFrame:
