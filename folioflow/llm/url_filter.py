@@ -90,6 +90,8 @@ def _labelled(text: str, label: int) -> tuple[tuple[str, int], ...]:
 LABELLED = _labelled(BLOCKED, 1) + _labelled(ALLOWED, 0)
 #: Labels in front of hosts of all sorts.
 FIRST_LABELS = ("www", "m", "blog")
+#: Parts in front of paths of all sorts: languages.
+FIRST_PARTS = ("en", "de", "fr", "es")
 THRESHOLD = 0.5
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -151,11 +153,14 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def _variants(url: str) -> list[str]:
-    """The url with each of the usual first labels of a host, so that these tell the model nothing."""
+    """The url with each of the usual first labels of a host and, on its bare host, with each of the usual first parts of
+    a path, so that these tell the model nothing."""
     scheme, mark, rest = url.partition("://")
     first, dot, bare = rest.partition(".")
     bare = bare if first in FIRST_LABELS else rest
-    return [f"{scheme}{mark}{bare}", *[f"{scheme}{mark}{label}.{bare}" for label in FIRST_LABELS]]
+    host, number = bare.partition("/")[0], zlib.crc32(bare.encode()) % 1000
+    plain = [f"{scheme}{mark}{host}/{part}/{number}" for part in FIRST_PARTS]
+    return [f"{scheme}{mark}{bare}", *[f"{scheme}{mark}{label}.{bare}" for label in FIRST_LABELS], *plain]
 
 
 def fit(labelled=LABELLED, bits: int = BITS, passes: int = PASSES) -> tuple[np.ndarray, float, int]:
