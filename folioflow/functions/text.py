@@ -27,7 +27,13 @@ def token_estimate(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(F.rlike(ends, F.lit(SPACE)), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
+
+
+def has_text(text: Column) -> Column:
+    """Whether anything is left of a text without its white space."""
+    return F.rlike(text, F.lit(r"(?U)\S"))
 
 
 def lines(text: Column) -> Column:
@@ -48,6 +54,7 @@ def is_page_number(line: Column) -> Column:
     """Whether a line carries a page number alone: ``Page 5``, ``5`` or ``5 of 20``, with a bar or dash in front and,
     unless it says page, behind."""
     whole = _trim(line)
+    maybe = F.left(whole, F.lit(1)).isin(*_DIGITS, "|", "-", "P", "p")  # tells most lines without a look at the rest
     opened = F.when(F.left(whole, F.lit(1)).isin("|", "-"), _trim(F.substring(whole, 2, 1 << 30))).otherwise(whole)
     named = F.substring(opened, 5, 1 << 30)
     with_word = F.left(opened, F.lit(4)).isin("Page", "page") & (F.ltrim(named, F.lit(ASCII_SPACE)) != named) & _is_digits(_trim(named))
@@ -55,7 +62,7 @@ def is_page_number(line: Column) -> Column:
     parts = F.split(closed, "of", 3)
     own, total = _trim(F.get(parts, 0)), F.get(parts, 1)
     alone = _is_digits(own) & ((F.size(parts) == 1) | (F.size(parts) == 2) & (F.ltrim(total, F.lit(ASCII_SPACE)) != total) & _is_digits(_trim(total)))
-    return with_word | alone
+    return maybe & (with_word | alone)
 
 
 def escape_html(text: Column) -> Column:

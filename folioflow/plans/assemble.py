@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import strip
+from folioflow.functions.text import has_text, strip
 from folioflow.operators.tables import cap_rows, grids, plausible_rows
 from folioflow.operators.transcript import silence_sections, turn_markdown
 from folioflow.schema import MAX_TABLE_ROWS, RUNS, TABLE
@@ -58,10 +58,9 @@ def page_nodes(lines: DataFrame, cells: DataFrame | None = None, max_rows: int =
     ``lines`` has (doc_id, page_number, pos, text) and maybe ``level``, of lines that head a section;
     ``cells`` has (doc_id, page_number, table_no, row, col, value). A page with neither has no heading."""
     lines = lines if "level" in lines.columns else lines.withColumn("level", F.lit(None).cast("int"))
-    base = lines.where(strip(F.col("text")) != "").select("doc_id", F.col("page_number").alias("o1"), F.lit(2).alias("o2"), F.col("pos").cast("long").alias("o3"), "text", F.col("level").alias("lv"))
+    base = lines.where(has_text(F.col("text"))).select("doc_id", F.col("page_number").alias("o1"), F.lit(2).alias("o2"), F.col("pos").cast("long").alias("o3"), "text", F.col("level").alias("lv"))
     page = F.col("o1").cast("int")
     parts = _shaped(base, type=F.when(F.col("lv").isNull(), "paragraph").otherwise("heading"), level=F.col("lv"), page=page, runs=text_runs(strip(F.col("text"))))
-    seen = base.select("doc_id", "o1")
     if cells is not None:
         keyed = cells.withColumn("table_id", F.struct("doc_id", "page_number", "table_no"))
         good = plausible_rows(keyed.select("table_id", "row", "col", "value"))
@@ -69,10 +68,14 @@ def page_nodes(lines: DataFrame, cells: DataFrame | None = None, max_rows: int =
         kept = cap_rows(rows, ("table_id",), "row", max_rows).groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: F.transform(r["cells"], strip)).alias("grid"), F.bool_or("truncated").alias("truncated"), F.max("total_rows").alias("total"))
         tables = kept.select(F.col("table_id.doc_id").alias("doc_id"), F.col("table_id.page_number").alias("o1"), F.lit(1).alias("o2"), F.col("table_id.table_no").cast("long").alias("o3"), "grid", "truncated", "total")
         parts = parts.unionByName(_shaped(tables, type=F.lit("table"), page=page, table=table_of(F.col("grid"), F.col("truncated"), F.col("total"))))
-        seen = seen.unionByName(tables.select("doc_id", "o1"))
-    heads = seen.distinct().select("doc_id", "o1", F.lit(0).alias("o2"), F.lit(0).cast("long").alias("o3"))
-    parts = parts.unionByName(_shaped(heads, type=F.lit("heading"), level=F.lit(2), page=page, runs=text_runs(F.concat(F.lit("Page "), F.col("o1").cast("string")))))
-    return number_nodes(parts)
+    # the first part of a page brings the heading along, so what gives the lines runs once
+    over = "over (partition by doc_id order by o1, o2, o3)"
+    first = F.expr(f"row_number() {over} = 1 or not (lag(o1) {over} <=> o1)")
+    head = {"o2": F.lit(0), "o3": F.lit(0).cast("long"), "type": F.lit("heading"), "level": F.lit(2), "page": page, "runs": text_runs(F.concat(F.lit("Page "), F.col("o1").cast("string")))}
+    kinds = {f.name: f.dataType for f in parts.schema.fields}
+    names = [c for c in parts.columns if c != "doc_id"]
+    opening = F.struct(*[F.col(c) if c == "o1" else head.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in names])
+    return number_nodes(parts.withColumn("first", first).select("doc_id", F.inline(F.when(F.col("first"), F.array(opening, F.struct(*names))).otherwise(F.array(F.struct(*names))))))
 
 
 def transcript_nodes(segments: DataFrame, titles: DataFrame | None = None) -> DataFrame:

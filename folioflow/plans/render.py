@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import escape_html, quoted, strip
+from folioflow.functions.text import escape_html, has_text, quoted, strip
 
 MAX_LEVEL = 6
 #: Gives the fields of a node: ``F.col`` of a node row, ``getField`` of an array's element.
@@ -216,7 +216,7 @@ def node_html(of: Field = F.col) -> Column:
     inner = runs_with(of("runs"), run_html)
     return (
         F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), escape_html(runs_text(of("runs"))), F.lit("</h"), level, F.lit(">")))
-        .when(kind == "paragraph", F.when(strip(inner) != "", F.concat(F.lit("<p>"), inner, F.lit("</p>"))).otherwise(""))
+        .when(kind == "paragraph", F.when(has_text(inner), F.concat(F.lit("<p>"), inner, F.lit("</p>"))).otherwise(""))
         .when(kind == "table", table_html(of("table")))
         .when(kind == "list", items_html(of("items")))
         .when(kind == "code", F.concat(F.lit("<pre><code>"), escape_html(F.coalesce(of("code"), F.lit(""))), F.lit("</code></pre>")))
@@ -264,35 +264,41 @@ def _parts_of(nodes: Column, text: Callable[[Field], Column], keep: Callable[[Co
 
 def _joined(parts: Column, gap: str, quote_line: str | None = None, open_: str = "", close: str = "") -> Column:
     """Parts with ``gap`` between; runs of one quote are marked by line or by what opens and closes them."""
-    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("int").alias("quote"), F.lit(0).alias("n"))
-
-    def step(s: Column, p: Column) -> Column:
-        same = F.coalesce(s["quote"] == p["quote"], F.lit(False))
+    def piece(own: Column, p: Column, i: Column) -> Column:
+        before = F.get(own, i - 1)["quote"]
+        same = F.coalesce(before == p["quote"], F.lit(False))
         if quote_line is not None:
             text = F.when(p["quote"].isNull(), p["text"]).otherwise(F.concat(F.lit(quote_line), F.replace(p["text"], F.lit("\n"), F.lit("\n" + quote_line))))
-            between = F.when(s["n"] == 0, "").when(same, F.lit("\n" + quote_line + "\n")).otherwise(gap)
+            between = F.when(i == 0, "").when(same, F.lit("\n" + quote_line + "\n")).otherwise(gap)
         else:
             text = F.concat(F.when(p["quote"].isNotNull() & ~same, open_).otherwise(""), p["text"])
-            between = F.concat(F.when(s["quote"].isNotNull() & ~same, close).otherwise(""), F.when(s["n"] == 0, "").otherwise(gap))
-        return F.struct(F.concat(s["out"], between, text).alias("out"), p["quote"].alias("quote"), (s["n"] + 1).alias("n"))
+            between = F.concat(F.when(before.isNotNull() & ~same, close).otherwise(""), F.when(i == 0, "").otherwise(gap))
+        return F.concat(between, text)
+
+    def whole(own: Column) -> Column:
+        ends = F.when(F.get(own, F.size(own) - 1)["quote"].isNotNull(), close).otherwise("")
+        plain = F.array_join(F.transform(own, lambda p: p["text"]), gap)  # without quotes no part is copied but into the whole
+        marked = F.concat(F.array_join(F.transform(own, lambda p, i: piece(own, p, i)), ""), ends)
+        return F.when(F.exists(own, lambda p: p["quote"].isNotNull()), marked).otherwise(plain)
 
-    return F.aggregate(parts, start, step, lambda s: F.concat(s["out"], F.when(s["quote"].isNotNull(), close).otherwise("")))
+    # bound as a variable, the parts are made once; joined at once, a long document costs no more than its length
+    return F.transform(F.array(parts), whole)[0]
 
 
 def markdown(nodes: DataFrame) -> DataFrame:
     """(doc_id, markdown): whole documents; blank nodes are left out."""
-    parts = _ordered(nodes, node_markdown(), strip(F.col("text")) != "")
+    parts = _ordered(nodes, node_markdown(), has_text(F.col("text")))
     return parts.select("doc_id", _joined(F.col("parts"), "\n\n", "> ").alias("markdown"))
 
 
 def markdown_of(nodes: Column) -> Column:
     """The Markdown of a document's array of nodes."""
-    return _joined(_parts_of(nodes, node_markdown, lambda text: strip(text) != ""), "\n\n", "> ")
+    return _joined(_parts_of(nodes, node_markdown, has_text), "\n\n", "> ")
 
 
 def section_markdown(nodes: DataFrame) -> DataFrame:
     """(doc_id, section, markdown): what a stream of a document gives, a row per section that shows something."""
-    own = nodes.select("doc_id", "section", "node_id", "quote", node_markdown().alias("text")).where(strip(F.col("text")) != "")
+    own = nodes.select("doc_id", "section", "node_id", "quote", node_markdown().alias("text")).where(has_text(F.col("text")))
     parts = own.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("node_id", "quote", "text"))).alias("parts"))
     return parts.select("doc_id", "section", _joined(F.col("parts"), "\n\n", "> ").alias("markdown"))
 

@@ -1,5 +1,8 @@
 """Pages and transcripts as documents, and the table of warnings."""
 
+import hashlib
+import time
+
 from folioflow.__main__ import main
 from folioflow.operators import paragraphs, service, tables
 from folioflow.plans import assemble, render
@@ -47,3 +50,14 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "in.html").write_text("<h1>A</h1>")
     main([str(tmp_path / "in.html"), str(tmp_path / "out"), "--output", "html"])
     assert spark.read.parquet(str(tmp_path / "out")).first().html == "<h1>A</h1>"
+
+
+def test_long_documents_cost_no_more_than_their_length(spark):
+    lines = spark.range(30_000).selectExpr("'d' as doc_id", "cast(id div 10 as int) as page_number", "id as pos", "repeat('x', 1000) as text")
+    nodes = assemble.page_nodes(lines)
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1  # what gives the lines runs once
+    began = time.monotonic()
+    got = render.markdown(nodes).selectExpr("length(markdown) as n", "substring(markdown, 1, 17) as begins", "md5(markdown) as md5").first()
+    whole = "\n\n".join(f"## Page {p}" + ("\n\n" + "x" * 1000) * 10 for p in range(3000))
+    assert (got.n, got.begins, got.md5) == (len(whole), "## Page 0\n\nxxxxxx", hashlib.md5(whole.encode()).hexdigest())
+    assert time.monotonic() - began < 30  # text put behind text again and again would copy 450 GB
