@@ -29,6 +29,11 @@ def sources(rows, ext, text):
     return rows.select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(ext).alias("ext"), F.encode(text, "utf-8").alias("content"))
 
 
+def spread(rows, key):
+    """Narrow rows dealt out anew: a small file that is one task of a scan can make many documents."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _cells(nodes):
     """(doc_id, section, row, col, value) of all tables."""
     t = nodes.where("type = 'table'").select("doc_id", "section", F.posexplode(render.table_grid(F.col("table"), render.run_json)).alias("row", "cells"))
