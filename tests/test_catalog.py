@@ -1,5 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -44,3 +46,16 @@ def test_query(spark, sf_dir, duck, name):
 def test_corruption_of_every_document(spark, sf_dir):
     docs = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
     assert {r.doc_id for r in catalog.queries()["encoding_corruption"](spark, sf_dir).collect()} == docs
+
+
+@pytest.mark.parametrize("name", ["chunks_pages"])
+def test_references_without_their_end_stay_text(spark, sf_dir, tmp_path, name):
+    """Headings are cut at a length, and so within a reference."""
+    pages = pd.read_parquet(f"{sf_dir}/pages.parquet").head(8)
+    cut = ["a &amp", "b &am", "c &lt", "d &#x27", "e &#x2", "f &copy=1 &amp;", "g &ampx; &", "h &#39"]
+    pages["html"] = [re.sub(r"<h1>[^<]*", f"<h1>{c}", h).replace("</p>", f" {c}</p>") for c, h in zip(cut, pages["html"], strict=True)]
+    pages.to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    want = con.execute(catalog.oracle_sql()[name]).df()
+    assert rows(catalog.queries()[name](spark, str(tmp_path)).toPandas()) == rows(want)
