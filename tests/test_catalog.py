@@ -48,7 +48,7 @@ def test_corruption_of_every_document(spark, sf_dir):
     assert {r.doc_id for r in catalog.queries()["encoding_corruption"](spark, sf_dir).collect()} == docs
 
 
-@pytest.mark.parametrize("name", ["chunks_pages", "page_json", "page_markdown", "page_sections", "page_html"])
+@pytest.mark.parametrize("name", ["chunks_pages", "page_json", "page_markdown", "page_sections", "page_html", "page_main_content"])
 def test_references_without_their_end_stay_text(spark, sf_dir, tmp_path, name):
     """Headings are cut at a length, and so within a reference."""
     pages = pd.read_parquet(f"{sf_dir}/pages.parquet").head(8)
