@@ -73,7 +73,7 @@ def test_references_without_their_end_in_menus_and_titles(spark, sf_dir, tmp_pat
     assert rows(catalog.queries()[name](spark, str(tmp_path)).toPandas()) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["page_json", "page_markdown", "page_sections", "page_html"])
+@pytest.mark.parametrize("name", ["page_json", "page_markdown", "page_sections", "page_html", "page_main_content"])
 def test_private_characters_are_no_ampersands(spark, tmp_path, name):
     """Icons are often references to the first private characters, beside which a text may hold loose ampersands."""
     page = "<nav><ul><li><a href='/x'>m</a></li></ul></nav><article><h1>h \ue002 &amp</h1><p>a &#xE000; &#57345; &#xe003;&#xfdd0; b</p></article>"
