@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -55,6 +56,13 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = SL
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return to the system what the allocators keep of freed memory: Arrow's, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding it."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -1,5 +1,6 @@
 """Each corpus operator against brute force, and on odd rows."""
 
+import ctypes
 import hashlib
 import re
 import string
@@ -250,6 +251,35 @@ def test_equal_rows_spread_over_groups(spark, monkeypatch):
     assert len(rows) == groups and rows.sum() == 4000 and rows.max() < 1.3 * 500
 
 
+def anonymous_mb():
+    return int(re.search(r"\nRssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+
+def test_workers_return_memory_and_hand_on_little(spark, monkeypatch):
+    made, kind = [], type(spark.range(0))
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema: made.append(f) or own(self, f, schema))
+    packing.pack(spark.createDataFrame([(1, "one")], "id long, text string"), id_col="id")
+    cut, place = made
+    rng = np.random.default_rng(0)
+    words = np.array(["".join(w) for w in rng.choice(list(string.ascii_lowercase), (20000, 6))])
+    texts = pa.RecordBatch.from_pydict({"id": list(range(4000)), "text": [" ".join(words[rng.integers(0, 20000, 600)]) for _ in range(4000)]})
+    assert sum(b.num_rows for b in cut(iter([texts]))) >= 4000
+    kept = anonymous_mb()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    assert kept - anonymous_mb() < 16
+    n, ids = 5000, rng.integers(0, 49152, (5000, 2048)).astype("<u2")
+    whole = pa.RecordBatch.from_pydict({"group": np.zeros(n, dtype=np.int64), "whole": pa.array([True] * n), "id": np.arange(n), "start": np.zeros(n, dtype=np.int64), "length": np.full(n, 2048), "doc_tokens": np.full(n, 2048), "ids": [row.tobytes() for row in ids]})
+    at = 0
+    for b in place(iter([whole.slice(0, 3000), whole.slice(3000)])):
+        assert b.nbytes < 8 << 20
+        for i, packed in zip(b.column("id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            assert i == at and packed == ids[i].astype("<u4").tobytes()
+            at += 1
+    assert at == n
+
+
 def test_first_fit():
     rng = np.random.default_rng(0)
     for sizes in ([], [2048], sorted(rng.integers(1, 2048, size=300).tolist(), reverse=True)):
